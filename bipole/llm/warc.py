@@ -26,6 +26,7 @@ SPLIT_BYTES = 64 << 20
 _READ = 1 << 16
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
+_BEGIN = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 _LONGEST_HEADER = 1 << 20
 _SCHEMA = "path string, offset bigint, length bigint, kind string, reason string, record_type string, target_uri string, warc_date string, headers map<string,string>, block binary"
 _ARROW = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("reason", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
@@ -46,16 +47,14 @@ class _Source:
             self.base, self.held = offset, self.file.read(max(n, 16 * _READ))
         return self.held[offset - self.base : offset - self.base + n]
 
-    def find(self, what: bytes, offset: int) -> int:
+    def begins(self, offset: int) -> Iterator[int]:
+        """Places from ``offset`` on that look like the begin of a member or of a version line, found piece by piece."""
         while offset < self.size:
             piece = self.at(offset, _READ)
-            hit = piece.find(what)
-            if hit >= 0:
-                return offset + hit
+            yield from [offset + m.start() for m in _BEGIN.finditer(piece)]
             if offset + len(piece) >= self.size:
-                return -1
-            offset += max(1, len(piece) - len(what) + 1)
-        return -1
+                return
+            offset += max(1, len(piece) - 6)  # one less than the longest begin
 
 
 def _parse(record: bytes, exact: bool) -> tuple[dict[str, str], bytes, int] | str:
@@ -122,15 +121,9 @@ def _valid_at(source: _Source, offset: int) -> tuple[dict[str, str], bytes, int]
 
 def _next_valid(source: _Source, offset: int) -> int:
     """The first place from ``offset`` on that begins a valid record; the file's size without one."""
-    gz, plain = source.find(_MAGIC, offset), source.find(b"WARC/1.", offset)
-    while gz >= 0 or plain >= 0:
-        at = min(x for x in (gz, plain) if x >= 0)
+    for at in source.begins(offset):
         if not isinstance(_valid_at(source, at), str):
             return at
-        if at == gz:
-            gz = source.find(_MAGIC, at + 1)
-        if at == plain:
-            plain = source.find(b"WARC/1.", at + 1)
     return source.size
 
 
@@ -163,7 +156,7 @@ def read_warc(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES)
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
     cuts = files.where("size > 0").withColumn("start", F.explode(F.expr(f"sequence(0L, size - 1, {split_bytes}L)"))).select("path", "size", "start")
-    cuts = cuts.repartition(F.col("path"), F.col("start"))
+    cuts = cuts.repartition(max(1, cuts.count()))  # a task for each range: rows this small would else be put together
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for where, size, start in zip(*(batch[c].to_pylist() for c in ("path", "size", "start")), strict=True):
