@@ -79,7 +79,7 @@ def threshold_label(score: Column, clean: float = 0.1, toxic: float = 0.5) -> Co
 
 def extract_json(raw: Column) -> Column:
     """The JSON part of a reply: the first fenced block, else from the first brace to the last, else all of it."""
-    fence = r"(?s)```(?:json)?\s*(.*?)```"
+    fence = r"(?s)```(?:json)?\s*(.*?)\s*```"
     first, last = F.instr(raw, "{"), F.length(raw) - F.instr(F.reverse(raw), "}") + 1
     braces = F.when((first > 0) & (F.instr(F.reverse(raw), "}") > 0) & (last > first), F.substring(raw, first, last - first + 1)).otherwise(raw)
     return F.when(raw.rlike(fence), F.trim(F.regexp_extract(raw, fence, 1))).otherwise(braces)

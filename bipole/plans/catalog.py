@@ -46,7 +46,7 @@ _SCORED = f"""with recursive {_POOL}, {_fold(_CLASS_BUDGET, "k, pos")}, {_BALANC
 asked as (select * from pool where pos not in (select pos from even)),
 {_grams("q", "asked", "pos")}, {_grams("p", "even", "pos")},
 shared as (select q.id qid, p.id pid, count(*) c from q join p on q.g = p.g group by all),
-means as (select qid, e.side, sum(c / (x.n + y.n - c)::double) s from shared join q_n x on x.id = qid join p_n y on y.id = pid join even e on e.pos = pid group by all),
+means as (select qid, e.side, sum(shared.c / (x.n + y.n - shared.c)::double) s from shared join q_n x on x.id = qid join p_n y on y.id = pid join even e on e.pos = pid group by all),
 sizes as (select side, count(*) n from even group by side),
 scored as (select a.pos query_id, a.side truth, 1e-6 + coalesce(max(case when m.side = 'positive' then m.s end), 0) / (select n from sizes where side = 'positive') p,
   1e-6 + coalesce(max(case when m.side = 'negative' then m.s end), 0) / (select n from sizes where side = 'negative') n from asked a left join means m on m.qid = a.pos group by a.pos, a.side),
