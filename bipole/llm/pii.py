@@ -7,6 +7,7 @@ kind come from a held-out part.
 
 from __future__ import annotations
 
+import ipaddress
 import random
 import re
 from collections.abc import Iterator
@@ -26,12 +27,13 @@ KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN", "BIRTHDATE", "ACCOUNT")
 _W = r"(?<![^\W_])"
 _E = r"(?![^\W_])"
 _D, _N = r"(?<!\d)", r"(?!\d)"
+_H = "[0-9A-Fa-f]{1,4}"
 GENERATORS: list[tuple[str, re.Pattern]] = [
     ("EMAIL", re.compile(r"[\w.+%'-]+@[\w-]+(?:\.[\w-]+)+")),
     ("PHONE", re.compile(rf"(?:\+|{_D})(?:\d{{1,3}}[ .-]?)?(?:\(\d{{1,5}}\)[ .-]?)?\d{{2,5}}(?:[ .-]\d{{2,5}}){{1,4}}{_N}")),
     ("PHONE", re.compile(rf"(?:\+|{_D}00|{_D})\d{{7,15}}{_N}")),
     ("IP", re.compile(rf"{_D}\d{{1,3}}(?:\.\d{{1,3}}){{3}}{_N}")),
-    ("IP", re.compile(rf"{_W}(?:[0-9A-Fa-f]{{1,4}}:){{2,7}}(?::|[0-9A-Fa-f]{{1,4}}){_E}")),
+    ("IP", re.compile(rf"{_W}(?:(?:{_H}:){{1,7}}(?:(?::{_H}){{1,6}}|:)|::(?:{_H}:){{0,6}}{_H}|(?:{_H}:){{2,7}}{_H})(?:(?<=[:.\dA-Fa-f])(?:\.\d{{1,3}}){{3}})?{_E}")),
     ("CARD", re.compile(rf"{_D}\d(?:[ -]?\d){{12,18}}{_N}")),
     ("CARD", re.compile(rf"{_D}\d{{13,19}}{_N}")),
     ("SSN", re.compile(rf"{_W}\d{{3}}[- ]\d{{2}}[- ]\d{{4}}{_E}")),
@@ -39,7 +41,7 @@ GENERATORS: list[tuple[str, re.Pattern]] = [
     ("BIRTHDATE", re.compile(rf"{_W}(?:\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{2,4}}){_E}")),
     ("ACCOUNT", re.compile(rf"{_W}\d{{6,17}}{_E}")),
 ]
-_ANCHOR = re.compile(r"[0-9@]+")
+_ANCHOR = re.compile(r"[0-9@]+|:[0-9A-Fa-f]{0,4}:")
 _REACH = 120
 _CONTEXT = [
     re.compile(p if p[0] == "[" else rf"(?<![^\W_])(?:{p})(?![^\W_])", re.I)
@@ -75,8 +77,15 @@ def _iban(span: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _ipv6(span: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(span))
+    except ValueError:
+        return False
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, generator) of every proposal; generators look only near digits and at signs, which every kind has."""
+    """(start, end, generator) of every proposal; generators look only near digits, at signs and the colons of addresses, of which every kind has one."""
     found, lo, hi = [], -1, -1
     spans = []
     for m in _ANCHOR.finditer(text):
@@ -118,7 +127,7 @@ def describe(text: str, found: list[tuple[int, int, int]]) -> np.ndarray:
             [
                 *(kind == k for k in KINDS), g, len(span), len(digits), sum(c.isalpha() for c in span), sum(c in " .-/" for c in span), span.startswith("+"), "(" in span, len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
                 13 <= len(digits) <= 19 and _luhn(digits), len(digits) == 16, len(octets) == 4 and all(o.isdigit() and int(o) < 256 for o in octets), len(octets) == 4 and octets[0] not in ("0", "1", "2", "3", "v"),
-                span.count(":"), len(parts[2].rpartition(".")[2]) if parts[1] else 0, len(parts[0]), kind == "IBAN" and _iban(span), len(set(digits)), digits[:1] == "0", "-" in span, "/" in span, bool(re.search(r"(?:19|20)\d\d", span)), len(groups) > 1 and len(groups[-1]) == 4,
+                span.count(":"), ":" in span and _ipv6(span), "::" in span, len(parts[2].rpartition(".")[2]) if parts[1] else 0, len(parts[0]), kind == "IBAN" and _iban(span), len(set(digits)), digits[:1] == "0", "-" in span, "/" in span, bool(re.search(r"(?:19|20)\d\d", span)), len(groups) > 1 and len(groups[-1]) == 4,
                 len(over), any(a <= s and e <= b for a, b in over), *_char(text[s - 1 : s]), *_char(text[e : e + 1]), *(bool(p.search(before)) for p in _CONTEXT), *(bool(p.search(after)) for p in _CONTEXT[8:12]),
             ]
         )
@@ -129,6 +138,8 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     """A text with spans of personal data, or look-alikes only."""
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     word = lambda: "".join(rng.choice(["er", "the", "an", "on", "is", "ge", "la", "que", "ti", "mo", "sch", "ción", "ré", "lu"]) for _ in range(rng.randint(1, 4)))
+    hexes = lambda n: ":".join(f"{rng.randrange(rng.choice([16, 65536, 65536])):x}" for _ in range(n))
+    short = lambda: rng.choice([lambda: "fe80::" + hexes(rng.randint(1, 4)), lambda: f"{hexes(n := rng.randint(1, 5))}::{hexes(rng.randint(0, 6 - n))}", lambda: "2001:db8::" + hexes(rng.randint(0, 5)), lambda: "::" + hexes(rng.randint(1, 3)), lambda: f"::ffff:{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}"])()
     prose = lambda n: " ".join(word() + rng.choice(["", "", "", ",", ".", "!!", "***"]) for _ in range(n))
     kind, span, name = "", "", ""
     pick = rng.random()
@@ -142,9 +153,7 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
             if span[0] == "#":
                 span, name = span[1:], name or "phone:"
         elif kind == "IP":
-            span = rng.choice([".".join(str(rng.randint(i == 0, rng.choice([255, 255, 40]))) for i in range(4))] * 3 + [":".join(f"{rng.randrange(65536):x}" for _ in range(8)), "fe80::" + f"{rng.randrange(65536):x}"])
-            if "::" in span:
-                span = ":".join(f"{rng.randrange(65536):x}" for _ in range(8))
+            span = rng.choice([".".join(str(rng.randint(i == 0, rng.choice([255, 255, 40]))) for i in range(4))] * 3 + [":".join(f"{rng.randrange(65536):x}" for _ in range(8)), short()])
         elif kind == "CARD":
             base = rng.choice([d(16), d(16), "4" + d(15), "37" + d(13), "5" + d(15)])
             span = rng.choice([base, base, base, " ".join(base[i : i + 4] for i in range(0, len(base), 4)), "-".join(base[i : i + 4] for i in range(0, len(base), 4))])
@@ -168,6 +177,7 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
                 (" order #", d(rng.randint(6, 12))), (" invoice ", d(rng.randint(6, 14))), (" version ", f"{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 30)}.{rng.randint(0, 99)}"), (" v", f"{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}"), (" $", f"{d(3)},{d(3)}.{d(2)}"), (" ", f"{rng.randint(1950, 2025)}-{rng.randint(1950, 2025)}"),
                 (" updated ", f"{rng.randint(1999, 2025)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"), (" ", f"{rng.randint(1999, 2025)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"), (" sha ", "".join(rng.choice("0123456789abcdef") for _ in range(40))), (" isbn ", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}"), (" ISBN ", "978" + d(10)), (" timestamp ", "1" + d(9)), (" ", d(rng.randint(1, 6))),
                 (" tracking ", d(rng.randint(12, 18))), (" section ", f"{rng.randint(1, 9)}.{rng.randint(1, 9)}.{rng.randint(1, 9)}.{rng.randint(1, 9)}"), (" ", f"{rng.randint(0, 23):02d}:{d(2)}:{d(2)}"), (" serial ", d(8) + "-" + d(4)), (" pp. ", f"{d(3)}-{d(3)}"), (" population ", d(7)), (" ", d(rng.randint(7, 9))), (" 10 ", f"{d(2)} {d(2)} {d(2)}"), (" user@", d(3)), (" ref. ", f"{d(4)} {d(4)}"), (" ", f"{d(3)} {d(3)}"),
+                (" ", f"{rng.choice(['std', 'add', 'face', 'Dec', 'cafe', 'b', word()])}::{rng.choice(['add', 'f', 'Bead', 'feed', word()])}"),
             ]
         )
     head = prose(rng.randint(0, 12)) + lead

@@ -201,6 +201,18 @@ def test_pii_held_out():
     assert hit / (hit + missed) > 0.9 and hit / (hit + wrong) > 0.9
 
 
+def test_pii_compressed_ipv6():
+    for a in ("2001:db8::1", "fe80::a1b2", "::1", "2001:db8:85a3::8a2e:370:7334", "dead::beef", "::ffff:192.0.2.1", "2001:db8:85a3:0:0:8a2e:370:7334"):
+        text = f"login from {a}, then the rest"
+        assert (11, 11 + len(a), "IP") in {(s, e, pii.GENERATORS[g][0]) for s, e, g in pii.candidates(text)}
+        assert [s[:3] for s in pii.detector().spans(text)] == [(11, 11 + len(a), "IP")]
+    rng, held = random.Random(98), []
+    while len(held) < 100:
+        text, truth = pii._example(rng)
+        held += [(t in {s[:3] for s in pii.detector().spans(text)}) for t in truth if "::" in text[t[0] : t[1]]]
+    assert sum(held) >= 90
+
+
 def test_language_held_out(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     model = language.Model([r["text"] for r in rows[:500]], [r["lang"] for r in rows[:500]], language.FAMILIES)
