@@ -10,6 +10,7 @@ from __future__ import annotations
 import ipaddress
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,7 +31,7 @@ _D, _N = r"(?<!\d)", r"(?!\d)"
 _H = "[0-9A-Fa-f]{1,4}"
 GENERATORS: list[tuple[str, re.Pattern]] = [
     ("EMAIL", re.compile(r"[\w.+%'-]+@[\w-]+(?:\.[\w-]+)+")),
-    ("PHONE", re.compile(rf"(?:\+|{_D})(?:\d{{1,3}}[ .-]?)?(?:\(\d{{1,5}}\)[ .-]?)?\d{{2,5}}(?:[ .-]\d{{2,5}}){{1,4}}{_N}")),
+    ("PHONE", re.compile(rf"(?:\+|{_D})(?:\d{{1,3}}[ ./-]?)?(?:\(\d{{1,5}}\)[ ./-]?\d{{2,10}}(?:[ ./-]\d{{2,10}}){{0,4}}|\d{{2,10}}(?:[ ./-]\d{{2,10}}){{1,4}}){_N}")),
     ("PHONE", re.compile(rf"(?:\+|{_D}00|{_D})\d{{7,15}}{_N}")),
     ("IP", re.compile(rf"{_D}\d{{1,3}}(?:\.\d{{1,3}}){{3}}{_N}")),
     ("IP", re.compile(rf"{_W}(?:(?:{_H}:){{1,7}}(?:(?::{_H}){{1,6}}|:)|::(?:{_H}:){{0,6}}{_H}|(?:{_H}:){{2,7}}{_H})(?:(?<=[:.\dA-Fa-f])(?:\.\d{{1,3}}){{3}})?{_E}")),
@@ -43,6 +44,9 @@ GENERATORS: list[tuple[str, re.Pattern]] = [
 ]
 _ANCHOR = re.compile(r"[0-9@]+|:[0-9A-Fa-f]{0,4}:")
 _REACH = 120
+IBAN = next(g for g, (kind, _) in enumerate(GENERATORS) if kind == "IBAN")
+#: Generators of grouped numbers and the characters that the shortest has.
+_GROUPED = {1: 5, next(g for g, (kind, _) in enumerate(GENERATORS) if kind == "CARD"): 13, IBAN: 15}
 _CONTEXT = [
     re.compile(p if p[0] == "[" else rf"(?<![^\W_])(?:{p})(?![^\W_])", re.I)
     for p in (
@@ -102,8 +106,9 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
         for g, (_, pattern) in enumerate(GENERATORS):
             for m in pattern.finditer(text, lo, min(hi, len(text))):
                 found.append((m.start(), m.end(), g))
-                if g == 1:  # a number may follow a telephone number: every shorter run of its groups is proposed as well
-                    found += [(m.start(), m.start() + x.end(), g) for x in list(re.finditer(r"\d+", m[0]))[1:-1]]
+                if g in _GROUPED:  # other numbers may stand beside a grouped one: every shorter run of its groups is proposed as well
+                    parts, least = list(re.finditer(r"[+(]*\w+", m[0])), _GROUPED[g]
+                    found += [(m.start() + a.start(), m.start() + b.end(), g) for i, a in enumerate(parts) for b in parts[i + (g != IBAN) :] if (a, b) != (parts[0], parts[-1]) and least <= sum(map(str.isalnum, m[0][a.start() : b.end()])) and (g != IBAN or i == 0)]
     return found
 
 
@@ -139,7 +144,7 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     word = lambda: "".join(rng.choice(["er", "the", "an", "on", "is", "ge", "la", "que", "ti", "mo", "sch", "ción", "ré", "lu"]) for _ in range(rng.randint(1, 4)))
     hexes = lambda n: ":".join(f"{rng.randrange(rng.choice([16, 65536, 65536])):x}" for _ in range(n))
-    short = lambda: rng.choice([lambda: "fe80::" + hexes(rng.randint(1, 4)), lambda: f"{hexes(n := rng.randint(1, 5))}::{hexes(rng.randint(0, 6 - n))}", lambda: "2001:db8::" + hexes(rng.randint(0, 5)), lambda: "::" + hexes(rng.randint(1, 3)), lambda: f"::ffff:{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}"])()
+    short = lambda: rng.choice([lambda: "fe80::" + hexes(rng.randint(1, 4)), lambda: f"{hexes(n := rng.randint(1, 5))}::{hexes(rng.randint(0, 6 - n))}", lambda: "2001:db8::" + hexes(rng.randint(0, 5)), lambda: rng.choice(["::1", "::" + hexes(rng.randint(1, 3))]), lambda: f"::ffff:{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}"])()
     prose = lambda n: " ".join(word() + rng.choice(["", "", "", ",", ".", "!!", "***"]) for _ in range(n))
     kind, span, name = "", "", ""
     pick = rng.random()
@@ -149,7 +154,7 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         if kind == "EMAIL":
             span = rng.choice([f"{word()}.{d(2)}", word(), f"{word()}_{word()}", f"{word()}+{word()}", f"{word()}.{word()}"]) + "@" + rng.choice([f"mail{d(1)}.example.com", f"{word()}.org", f"{word()}.{rng.choice(['com', 'de', 'fr', 'net', 'co.uk', 'io'])}"])
         elif kind == "PHONE":
-            span = rng.choice([f"+{rng.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{rng.randint(1, 99)} {d(3)} {d(3)} {d(4)}", f"+{rng.randint(1, 99)}{d(10)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{rng.randint(30, 49)} {d(2)} {d(8)}", "#" + d(10)])
+            span = rng.choice([f"+{rng.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{rng.randint(1, 99)} {d(3)} {d(3)} {d(4)}", f"+{rng.randint(1, 99)}{d(10)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{rng.randint(30, 49)} {d(2)} {d(8)}", f"+{rng.randint(30, 49)} ({d(2)}) {d(8)}", f"0{d(3)} {d(7)}", f"0{d(3)}-{d(7)}", f"0{d(rng.randint(2, 3))}/{d(rng.randint(6, 8))}", "#" + d(10)])
             if span[0] == "#":
                 span, name = span[1:], name or "phone:"
         elif kind == "IP":
@@ -177,6 +182,7 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
                 (" order #", d(rng.randint(6, 12))), (" invoice ", d(rng.randint(6, 14))), (" version ", f"{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 30)}.{rng.randint(0, 99)}"), (" v", f"{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}"), (" $", f"{d(3)},{d(3)}.{d(2)}"), (" ", f"{rng.randint(1950, 2025)}-{rng.randint(1950, 2025)}"),
                 (" updated ", f"{rng.randint(1999, 2025)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"), (" ", f"{rng.randint(1999, 2025)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"), (" sha ", "".join(rng.choice("0123456789abcdef") for _ in range(40))), (" isbn ", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}"), (" ISBN ", "978" + d(10)), (" timestamp ", "1" + d(9)), (" ", d(rng.randint(1, 6))),
                 (" tracking ", d(rng.randint(12, 18))), (" section ", f"{rng.randint(1, 9)}.{rng.randint(1, 9)}.{rng.randint(1, 9)}.{rng.randint(1, 9)}"), (" ", f"{rng.randint(0, 23):02d}:{d(2)}:{d(2)}"), (" serial ", d(8) + "-" + d(4)), (" pp. ", f"{d(3)}-{d(3)}"), (" population ", d(7)), (" ", d(rng.randint(7, 9))), (" 10 ", f"{d(2)} {d(2)} {d(2)}"), (" user@", d(3)), (" ref. ", f"{d(4)} {d(4)}"), (" ", f"{d(3)} {d(3)}"),
+                (" ref. ", f"{rng.randint(1990, 2025)}/{d(rng.randint(5, 7))}"), (" invoice ", f"{d(4)}-{d(rng.randint(6, 8))}"), (" order ", f"{d(rng.randint(6, 8))} {d(rng.randint(2, 7))}"),
                 (" ", f"{rng.choice(['std', 'add', 'face', 'Dec', 'cafe', 'b', word()])}::{rng.choice(['add', 'f', 'Bead', 'feed', word()])}"),
             ]
         )
@@ -195,10 +201,12 @@ class Detector:
 
     def __init__(self, examples: int = EXAMPLES, seed: int = 11):
         rng = random.Random(seed)
-        xs, ys, kinds, part = [], [], [], []
+        xs, ys, kinds, part, true = [], [], [], [], Counter()
         for n in range(examples):
             text, truth = _example(rng)
             found = candidates(text)
+            if n % 4 == 3:  # those that no candidate equals count as missed
+                true.update(k for _, _, k in truth)
             if found:
                 xs.append(describe(text, found))
                 ys += [any((s, e) == (a, b) and GENERATORS[g][0] == k for a, b, k in truth) for s, e, g in found]
@@ -215,7 +223,7 @@ class Detector:
             grid = np.linspace(0.05, 0.95, 91)
             tp = np.array([(real[own >= t]).sum() for t in grid])
             shown = np.array([(own >= t).sum() for t in grid])
-            f2 = 5 * tp / np.maximum(1e-9, 4 * real.sum() + shown)
+            f2 = 5 * tp / np.maximum(1e-9, 4 * true[k] + shown)
             best = np.flatnonzero(f2 >= f2.max() - 1e-12)
             self.threshold[k] = float(grid[best[len(best) // 2]])
 

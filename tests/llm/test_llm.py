@@ -213,6 +213,24 @@ def test_pii_compressed_ipv6():
     assert sum(held) >= 90
 
 
+def test_pii_recall_of_each_kind_and_form():
+    for a in ("+49 30 12345678", "+44 20 79460958", "0171 1234567", "0171-1234567", "030/1234567", "+49 (30) 12345678", "(555) 123-4567"):
+        text = f"please call {a}, or write"
+        assert (12, 12 + len(a), "PHONE") in {(s, e, pii.GENERATORS[g][0]) for s, e, g in pii.candidates(text)}
+        assert [s[:2] for s in pii.detector().spans(text)] == [(12, 12 + len(a))]
+    rng, seen, proposed, held = random.Random(97), defaultdict(int), defaultdict(int), defaultdict(int)
+    for _ in range(4000):
+        text, truth = pii._example(rng)
+        found, got = {(s, e, pii.GENERATORS[g][0]) for s, e, g in pii.candidates(text)}, {s[:2] for s in pii.detector().spans(text)}
+        for t in truth:
+            shape = re.sub(r"\d+", "9", text[t[0] : t[1]]) if t[2] in ("PHONE", "CARD", "BIRTHDATE") else ""
+            for form in {(t[2], ""), (t[2], shape)}:
+                seen[form], proposed[form], held[form] = seen[form] + 1, proposed[form] + (t in found), held[form] + (t[:2] in got)
+    assert {k for k, _ in seen} == set(pii.KINDS)
+    assert proposed == seen
+    assert all(held[f] >= 0.85 * n for f, n in seen.items() if n >= 10), {f: (held[f], n) for f, n in seen.items() if held[f] < 0.85 * n}
+
+
 def test_language_held_out(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     model = language.Model([r["text"] for r in rows[:500]], [r["lang"] for r in rows[:500]], language.FAMILIES)
