@@ -2,7 +2,7 @@
 
 Level 1 takes windows of ``base`` words at winnowed places (of every ``base + 1`` consecutive windows the least hash). Any repeated passage of ``2 * base`` words holds
 such a window at the same place in all its copies, so passages without a repeated one are out. Windows that repeat are extended to ``2 * base`` words, at every place
-that holds one: those that repeat are exactly the windows of that length that repeat in the corpus, and their union gives the spans. Then windows at winnowed places of
+that holds one: those that repeat are exactly the windows of that length that repeat in the corpus, and their union gives the spans. Then all windows of
 the survivors are doubled again and again, only while they repeat, until none is left; they tell how long the longest repeated window of a span is.
 """
 
@@ -32,8 +32,8 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def repeated_spans(documents: DataFrame, *, base: int = BASE) -> DataFrame:
     """Rows (doc_id, start_word, end_word, longest_words): the maximal unions of windows of 2 * base words that occur at least twice in the table, in other
-    documents or in the same, by word (the end is exclusive). longest_words is 2 * base times the largest power of two at which a window inside is known to
-    repeat: at least 2 * base * 2**j if the span holds a repeated passage of 2 * base * (2**j + 1) words.
+    documents or in the same, by word (the end is exclusive). longest_words is 2 * base times the largest power of two at which a window inside
+    repeats: the largest 2 * base * 2**j that the longest repeated passage in the span holds.
 
     Null and empty texts, and texts of fewer than 2 * base words, have no spans; texts of any length are read whole. Every occurrence counts, so a repeated row is a
     second occurrence of all of its text; rows that share a doc_id give the union of their spans. Rows with a null doc_id are left out. Empty tables give no
@@ -80,28 +80,27 @@ def repeated_spans(documents: DataFrame, *, base: int = BASE) -> DataFrame:
             starts, ends = pos[begin], pos[last] + least
             # windows that touch belong to one span, but only unbroken stretches can be doubled
             flat = np.cumsum(np.concatenate([[0], np.diff(pos) != 1]))
-            levels: dict[int, list[int]] = {}
-            picked = winnow(h, flat, least)
-            high, size = h, least
+            made: list[tuple[np.ndarray, np.ndarray]] = []
+            high, size, ok = h, least, np.ones(len(pos), bool)
             while True:
                 n = len(pos) - size
                 if n <= 0:
                     break
-                whole = pos[size:] == pos[:-size] + size  # [p, p + size) and [p + size, p + 2 size) both survived
                 two = np.zeros(len(pos), np.uint64)
                 two[:n] = _join(high[:n], high[size:])
                 valid = np.zeros(len(pos), bool)
-                valid[:n] = whole & (flat[size:] == flat[:-size])
-                mine = picked[valid[picked]]
-                if not len(mine):
+                valid[:n] = ok[:n] & ok[size:] & (flat[size:] == flat[:-size])  # [p, p + size) and [p + size, p + 2 size) are both there
+                if not valid.any():
                     break
-                for p in mine:
-                    levels.setdefault(int(p), []).append(int(two[p : p + 1].view(np.int64)[0]))
-                high, size = two, size * 2
-            keys = list(levels)
+                made.append((np.flatnonzero(valid), two[valid].view(np.int64)))
+                high, size, ok = two, size * 2, valid
+            keys, hs = (made[0][0], np.concatenate([x[1] for x in made])) if made else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            at = np.concatenate([x[0] for x in made]) if made else keys
+            # a window that is there at one level is there at all below it
+            hs, lists = hs[np.argsort(at, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(pos))[keys])])
             k = len(starts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([doc] * (k + len(keys)), pa.int64()), pa.array(np.concatenate([starts, starts[run[keys]] if keys else starts[:0]]).astype(np.int32)), pa.array(ends.tolist() + [None] * len(keys), pa.int32()), pa.array([None] * k + [levels[p] for p in keys], pa.list_(pa.int64()))],
+                [pa.array([doc] * (k + len(keys)), pa.int64()), pa.array(np.concatenate([starts, starts[run[keys]]]).astype(np.int32)), pa.array(ends.tolist() + [None] * len(keys), pa.int32()), pa.ListArray.from_arrays(pa.array([None] * k + lists.tolist(), pa.int32()), pa.array(hs))],
                 ["doc_id", "start_word", "end_word", "hs"],
             )
 

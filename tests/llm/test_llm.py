@@ -121,6 +121,26 @@ def test_repeated_spans_against_brute_force(spark):
     assert max(r["longest_words"] for r in got) >= 80
 
 
+def test_longest_words_against_brute_force(spark):
+    rng, base = random.Random(16), 10
+    rows = []
+    for n in (20, 30, 32, 39, 40, 41, 50, 64, 79, 80, 81, 100, 159, 160, 161, 320, 333):
+        part = prose(rng, n).split()
+        rows += [(len(rows) + j, prose(rng, rng.choice([0, 15, 25])).split() + part + prose(rng, rng.choice([0, 15])).split()) for j in range(2)]
+    want, size = {}, 2 * base
+    while size <= 400:
+        seen = defaultdict(set)
+        for i, ws in rows:
+            for p in range(len(ws) - size + 1):
+                seen[tuple(ws[p : p + size])].add((i, p))
+        for i, p in (x for places in seen.values() if len(places) > 1 for x in places):
+            want.setdefault(i, {})[p] = size
+        size *= 2
+    got = substrings.repeated_spans(spark.createDataFrame([(i, " ".join(ws)) for i, ws in rows], "doc_id bigint, text string"), base=base).collect()
+    assert len(got) == len(rows)
+    assert all(r["longest_words"] == max(n for p, n in want[r["doc_id"]].items() if r["start_word"] <= p < r["end_word"]) for r in got)
+
+
 def test_packing_is_exact_and_tight(spark):
     rng = random.Random(7)
     sizes = [rng.randrange(1, 900) for _ in range(3000)]
