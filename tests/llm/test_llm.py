@@ -90,6 +90,18 @@ def test_jaccard_join_and_pipeline_against_brute_force(spark):
     assert {r["doc_id"] for r in out} == first - gone - bad
 
 
+def test_jaccard_links_near_the_threshold_at_each_size(spark):
+    rows, want = [], set()
+    for n in (*range(20, 65), 70, 90, 110, 127):
+        whole = [f"w{n}x{j}" for j in range(n + 2)]
+        rows += [(1000 * n, " ".join(whole)), (1000 * n + 1, " ".join(whole[: (n + 1) // 2 + 2]))]  # n and half as many trigrams
+        want |= {(1000 * n + j, 1000 * n) for j in range(2)}
+    got = {(r["doc_id"], r["group_id"]) for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got <= want
+    assert {x for x in want if x[1] < 65000} <= got
+    assert len(got) >= 0.9 * len(want)
+
+
 def test_winnowing_finds_every_shared_span(spark):
     rng = random.Random(5)
     item = prose(rng, 60).split()
