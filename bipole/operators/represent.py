@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 POOL_VECTORS = 200_000
@@ -28,31 +28,44 @@ def embed(texts: DataFrame, key: str, load: Callable[[str], Callable], model_nam
 
 def nearest_vectors(queries: DataFrame, pool: DataFrame, k: int, limit: int = POOL_VECTORS) -> DataFrame:
     """(query_id, pos, cosine, rank) of the k pool vectors nearest to each query other than itself; ties go to the lower pos, a vector of no length has
-    cosine 0. A pool beyond ``limit`` vectors is refused: hashing (see the near-dedup operator) is the way for those."""
-    rows = pool.select("pos", "embedding").orderBy("pos").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("the pool is too large to compare with all")
-    held = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
+    cosine 0. A pool beyond ``limit`` vectors is sent to the tasks in blocks of so many, and each query keeps the best k of its best in every block."""
+    spark = queries.sparkSession
+    columns, block, found = "query_id bigint, pos bigint, cosine double, rank int", [], None
 
     def unit(x: np.ndarray) -> np.ndarray:
         n = np.linalg.norm(x, axis=1, keepdims=True)
         return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pos, vectors = held.value
-        vectors = unit(vectors)
-        for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                s = np.round(unit(np.stack(part["embedding"]).astype(np.float64)) @ vectors.T, 12)
-                ids, out = part["query_id"].to_numpy(), []
-                for i, q in enumerate(ids):
-                    order = np.lexsort((pos, -s[i]))
-                    order = order[pos[order] != q][:k]
-                    out += [(q, pos[j], s[i, j], r + 1) for r, j in enumerate(order)]
-                yield pd.DataFrame(out, columns=["query_id", "pos", "cosine", "rank"])
-
-    return queries.select("query_id", "embedding").mapInPandas(run, "query_id bigint, pos bigint, cosine double, rank int")
+    def nearest(block: list) -> DataFrame:
+        held = spark.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            pos, vectors = held.value
+            vectors = unit(vectors)
+            for b in batches:
+                for at in range(0, len(b), 256):
+                    part = b.iloc[at : at + 256]
+                    s = np.round(unit(np.stack(part["embedding"]).astype(np.float64)) @ vectors.T, 12)
+                    ids, out = part["query_id"].to_numpy(), []
+                    for i, q in enumerate(ids):
+                        order = np.lexsort((pos, -s[i]))
+                        order = order[pos[order] != q][:k]
+                        out += [(q, pos[j], s[i, j], r + 1) for r, j in enumerate(order)]
+                    yield pd.DataFrame(out, columns=["query_id", "pos", "cosine", "rank"])
+
+        return queries.select("query_id", "embedding").mapInPandas(run, columns)
+
+    blocks = 0
+    for row in pool.select("pos", "embedding").orderBy("pos").toLocalIterator():
+        block.append(row)
+        if len(block) == limit:
+            found, blocks, block = nearest(block) if found is None else found.unionByName(nearest(block)), blocks + 1, []
+    if block or found is None:
+        found, blocks = nearest(block) if found is None else found.unionByName(nearest(block)), blocks + 1
+    if blocks == 1:
+        return found
+    best = Window.partitionBy("query_id").orderBy(F.when(~F.isnan("cosine"), F.col("cosine")).desc_nulls_last(), "pos")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "pos", "cosine", "rank")
 
 
 def votes(neighbours: DataFrame, pool: DataFrame) -> DataFrame:

@@ -147,3 +147,16 @@ def test_representatives_and_metrics(spark):
     m = classify.metrics(p, "positive").first()
     assert (m["n"], m["precision_positive"], m["recall_positive"]) == (3, 1.0, 0.5)
     assert {(r["truth"], r["prediction"]): r["n"] for r in classify.confusion(p, ["positive", "negative"]).collect()}[("negative", "positive")] == 0
+
+
+def test_nearest_vectors_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.integers(-2, 3, (57, 4)))]
+    pool = spark.createDataFrame(rows, "pos bigint, embedding array<double>")
+    queries = pool.withColumnRenamed("pos", "query_id")
+    whole = sorted(map(tuple, represent.nearest_vectors(queries, pool, 5).collect()))
+    assert len(whole) == 57 * 5
+    for limit in (10, 19, 57):
+        assert sorted(map(tuple, represent.nearest_vectors(queries, pool, 5, limit=limit).collect())) == whole
