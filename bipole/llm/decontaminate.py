@@ -84,7 +84,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, k: int = K, w:
 
     A benchmark of up to ``broadcast_bytes`` goes to every task, and documents are scanned once without a shuffle. A larger one is joined with the
     documents' fingerprints in a shuffle, and only pairs that hit are compared. Null or empty texts share nothing; texts shorter than a span neither.
-    A null id stays null on the way that doesn't shuffle and is left out of the other. Rows that repeat an id are one document: its figures
+    A null id stays null. Rows that repeat an id are one document: its figures
     are the largest of them. Empty tables give no rows; further columns aren't read.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -104,18 +104,18 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, k: int = K, w:
 
         def prints(name: str):
             def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-                ids = np.array(batch[name].to_numpy(zero_copy_only=False), np.int64)
                 for first, some in chunks(batch["text"].to_pylist()):
                     values, text, _ = windows(*words(some), k)
                     keep = winnow(values, text, w)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[text[keep] + first]), pa.array(values[keep].view(np.int64))], [name, "print"])
+                    yield pa.RecordBatch.from_arrays([batch[name].take(pa.array(text[keep] + first)), pa.array(values[keep].view(np.int64))], [name, "print"])
 
             return each
 
-        left = arrow_map(docs.where("doc_id is not null and text is not null"), prints("doc_id"), "doc_id bigint, print bigint")
-        right = arrow_map(items.where("item_id is not null"), prints("item_id"), "item_id bigint, print bigint").distinct()
+        left = arrow_map(docs.where("text is not null"), prints("doc_id"), "doc_id bigint, print bigint")
+        right = arrow_map(items, prints("item_id"), "item_id bigint, print bigint").distinct()
         hits = left.join(right, "print").select("doc_id", "item_id").distinct()
-        both = hits.join(docs, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
+        own, other = docs.withColumnRenamed("doc_id", "own"), items.select(F.col("item_id").alias("other"), F.col("text").alias("item_text"))
+        both = hits.join(own, F.col("doc_id").eqNullSafe(F.col("own"))).join(other, F.col("item_id").eqNullSafe(F.col("other"))).select("doc_id", "item_id", "text", "item_text")
 
         def compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             ids, names, texts, others = (batch[c].to_pylist() for c in ("doc_id", "item_id", "text", "item_text"))

@@ -118,6 +118,15 @@ def test_winnowing_finds_every_shared_span(spark):
         assert set(got) == set(want) and all(got[i] >= want[i] for i in want)
 
 
+def test_contamination_with_null_ids_both_ways(spark):
+    rng = random.Random(15)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (None, b), (None, a), (2, c), (3, prose(rng, 50))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, a), (7, b), (None, c), (8, c), (9, None)], "item_id bigint, text string")
+    ways = [sorted(map(str, contamination.collect())) for contamination in (decontaminate.contamination(docs, bench, broadcast_bytes=n) for n in (decontaminate.BROADCAST_BYTES, 0))]
+    assert ways[0] == ways[1] and len(ways[0]) == 5
+
+
 def test_repeated_spans_against_brute_force(spark):
     rng = random.Random(6)
     shared = [prose(rng, n).split() for n in (10, 30, 70, 200, 45)]
