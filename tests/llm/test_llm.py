@@ -232,6 +232,19 @@ def test_secret_lexing():
     assert not any(secrets.scan(t) for t in ('password = "your_password_here"', 'token_count = "123456789abc"', 'url = "9f8e7d6c5b4a39281706"', "password=", None, ""))
 
 
+def test_long_secrets():
+    rng = random.Random(14)
+    key = "".join(rng.choice("0123456789abcdefXYZ") for _ in range(20000))
+    for n in (4000, 5000, 20000):
+        for ref in ("${K}", "$K", '"{K}"', '"%(K)s"'):
+            text = f'K = "{key[:n]}"\nPRIVATE_KEY={ref}\n'
+            (start, end, name, _, used), = secrets.scan(text)
+            assert (text[start:end], name, used) == (key[:n], "PRIVATE_KEY", True)
+    assert secrets.scan(f'K = "{key[:5000]}"\nPRIVATE_KEY="id-${{K}}"\n')[0][2] == "PRIVATE_KEY"
+    text = f"PRIVATE_KEY={key} tail"
+    assert [text[s[0] : s[1]] for s in secrets.scan(text)] == [key]
+
+
 def test_pii_held_out():
     rng = random.Random(99)
     hit = wrong = missed = 0
