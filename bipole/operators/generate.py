@@ -102,7 +102,14 @@ class _Sampler:
 
     def _examples(self, pool: DataFrame, budget: int, batch: int) -> tuple[list[str], list[str]]:
         own = self.seed * 1_000_003 + batch
-        chosen = pools.trim_to_budget(pool, budget, seeded(own, F.col("side"), F.col("pos")), k=self.max_examples).drop("rank")
+        if self.method == "random":
+            chosen = pools.trim_to_budget(pool, budget, seeded(own, F.col("side"), F.col("pos")), k=self.max_examples).drop("rank")
+        else:
+            sides = [POSITIVE, NEGATIVE] if self.shows_negatives else [POSITIVE]
+            first, *more = [sample_group(pool.where(F.col("side") == side), budget, self.method, own) for side in sides]
+            chosen = first.unionByName(more[0]) if more else first
+            if self.max_examples is not None:
+                chosen = pools.random_select(chosen, self.max_examples, own)
         if self.shows_negatives:
             chosen = pools.balance(chosen, own)
         rows = chosen.orderBy("pos").collect()
@@ -114,6 +121,10 @@ class _Sampler:
         spark = df.sparkSession
         classes = pools.resolve_labels(df, pos_label=self.pos_label)
         pool = pools.make_pool(df, pos_label=classes[1])
+        if self.method != "random":
+            if "embedding" not in df.columns:
+                raise ValueError("kmeans and votek need a column embedding")
+            pool = pool.join(df.select("pos", "embedding"), "pos")
         sizes = {r["side"]: r["n"] for r in pool.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
         target = self.n_synthesized if self.n_synthesized is not None else max(0, sizes.get(NEGATIVE, 0) - sizes.get(POSITIVE, 0))
         base = df.select("pos", "text", "label", F.lit(False).alias("is_generated"))

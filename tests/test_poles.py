@@ -160,3 +160,16 @@ def test_nearest_vectors_in_blocks(spark):
     assert len(whole) == 57 * 5
     for limit in (10, 19, 57):
         assert sorted(map(tuple, represent.nearest_vectors(queries, pool, 5, limit=limit).collect())) == whole
+
+
+def test_samplers_choose_by_method(spark):
+    xs = [0.0, 0.1, 0.2, 5.0, 5.1, 9.0]
+    rows = [(10 * s + i, side, f"{side} {i:02d}", [x, 1.0]) for s, side in enumerate(("positive", "negative")) for i, x in enumerate(xs)]
+    both = spark.createDataFrame(rows, "pos bigint, side string, text string, embedding array<double>").cache()
+    for method in ("random", "kmeans", "votek"):
+        sampler = generate._Sampler(BackendFactory("lexical"), method=method, seed=3)
+        own, want = 3 * 1_000_003, {}
+        for side in ("positive", "negative"):
+            want[side] = [r["text"] for r in generate.sample_group(both.where(F.col("side") == side), 9, method, own).orderBy("pos").collect()]
+        got = sampler._examples(both, 9, 0)
+        assert got == (want["positive"], want["negative"]) and got[0]
