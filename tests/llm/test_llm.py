@@ -82,7 +82,7 @@ def test_jaccard_join_and_pipeline_against_brute_force(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     want = brute_groups(texts, jaccard.THRESHOLD)
     got = {(r["doc_id"], r["group_id"]) for r in jaccard.similar_groups(docs).collect()}
-    assert len(got & want) >= 0.9 * len(want) and got <= want
+    assert got == want
     out = corpus_pipeline.run(spark, SF).collect()
     first = {i for i, t in texts.items() if re.search(r"[^\W\d_]", t)}
     gone = {i for i, g in brute_groups({i: texts[i] for i in first}, jaccard.THRESHOLD) if i != g}
@@ -91,15 +91,28 @@ def test_jaccard_join_and_pipeline_against_brute_force(spark):
 
 
 def test_jaccard_links_near_the_threshold_at_each_size(spark):
-    rows, want = [], set()
-    for n in (*range(20, 65), 70, 90, 110, 127):
+    rows = []
+    for n in (*range(1, 75), 90, 104, 127, 128, 200, 333):
         whole = [f"w{n}x{j}" for j in range(n + 2)]
-        rows += [(1000 * n, " ".join(whole)), (1000 * n + 1, " ".join(whole[: (n + 1) // 2 + 2]))]  # n and half as many trigrams
-        want |= {(1000 * n + j, 1000 * n) for j in range(2)}
-    got = {(r["doc_id"], r["group_id"]) for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got <= want
-    assert {x for x in want if x[1] < 65000} <= got
-    assert len(got) >= 0.9 * len(want)
+        for copy, part in enumerate((n, (n + 1) // 2, max(1, n // 2 - 1))):  # part of n trigrams: the second is linked, the third just not
+            rows.append((1000 * n + copy, " ".join(whole[: part + 2])))
+    want = brute_groups(dict(rows), jaccard.THRESHOLD)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {(r["doc_id"], r["group_id"]) for r in jaccard.similar_groups(docs).collect()}
+    assert got == want and len(want) > 150
+
+
+def test_jaccard_join_is_exact_on_texts_that_share_much(spark):
+    rng = random.Random(41)
+    pool = [prose(rng, 40).split() for _ in range(12)]
+    rows = []
+    for i in range(400):
+        parts = [w for p in rng.sample(pool, rng.randrange(1, 5)) for w in p[: rng.choice([5, 13, 20, 40])]]
+        rows.append((i, " ".join(w for w in parts if rng.random() > rng.choice([0, 0.03, 0.1]))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    for threshold, options in ((0.5, {}), (0.5, {"broadcast_rows": 0, "rounds": 1}), (0.8, {}), (0.35, {"rounds": 2})):
+        got = {(r["doc_id"], r["group_id"]) for r in jaccard.similar_groups(docs, threshold=threshold, **options).collect()}
+        assert got == brute_groups(dict(rows), threshold)
 
 
 def test_winnowing_finds_every_shared_span(spark):
