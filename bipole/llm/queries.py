@@ -20,6 +20,7 @@ def queries() -> dict:
         "op9_embedding_near_dedup": vectors.op9_embedding_near_dedup,
         "op10_language_id": language.op10_language_id,
         "passage_spans": substrings.passage_spans,
+        "planted_vectors": vectors.planted_vectors,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_jaccard_join": jaccard.OP6_SQL,
         "op9_embedding_near_dedup": vectors.OP9_SQL,
         "passage_spans": substrings.SPANS_SQL,
+        "planted_vectors": vectors.PLANTED_SQL,
     }

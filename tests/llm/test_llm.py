@@ -201,20 +201,36 @@ def test_kd_shards(spark):
     assert all(total[s] <= 40_000 for s in many) and sorted(total) == list(range(len(total)))
 
 
-def test_vectors_recall(spark):
+def vector_groups(x, ids, threshold):
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    label = np.arange(len(u))
+    linked = u @ u.T >= threshold
+    while True:
+        new = np.array([label[row].min() for row in linked])
+        if (new == label).all():
+            return {(int(i), int(ids[k])) for i, k in zip(ids, label, strict=True)}
+        label = new
+
+
+def test_vector_groups_against_brute_force(spark):
     rng = np.random.default_rng(8)
     centre = rng.standard_normal((60, 24))
-    x = np.repeat(centre, 5, 0) + 0.15 * rng.standard_normal((300, 24))
+    x = np.repeat(centre, 5, 0) + 0.17 * rng.standard_normal((300, 24))
     x[0] = x[1]
-    u = x.astype(np.float32).astype(float)
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    want = {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.95), strict=True) if i < j}
-    odd_rows = [(1000, None), (1001, []), (1002, [0.0] * 24), (1003, [float("nan")] * 24), (None, [1.0] * 24)]
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + odd_rows, "vec_id bigint, embedding array<float>")
-    for block in (2000, 3):
-        got = {(r["vec_a"], r["vec_b"]) for r in vectors.near_pairs(df, block=block).collect()}
-        assert got <= want and len(got) >= 0.9 * len(want)
-    assert vectors.near_pairs(df.limit(0)).collect() == []
+    x = np.concatenate([x, centre[:1] + 0.05 * rng.standard_normal((80, 24))])  # a hot bucket
+    want = vector_groups(x, np.arange(len(x)), 0.95)
+    odd_rows = [(1000, None, 1), (1001, [], 1), (1002, [0.0] * 24, 1), (1003, [float("nan")] * 24, 1), (None, [1.0] * 24, 1), (5, x[5].tolist(), 1), (1004, [1.0], 1)]
+    names = "vec_id bigint, embedding array<float>, key bigint"  # with a clashing further column
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + odd_rows, names)
+    for block in (2000, 40, 3):
+        got = {(r["vec_id"], r["group_id"]) for r in vectors.near_groups(df, block=block, recall=0.99999).collect()}
+        assert got == want | {(1004, 1004)}
+    got = {(r["vec_id"], r["group_id"]) for r in vectors.near_groups(df).collect()}
+    joined = lambda rows: {i for i, g in rows if sum(h == g for _, h in rows) > 1}
+    assert len(joined(got) & joined(want)) >= 0.95 * len(joined(want))
+    assert vectors.near_groups(df.limit(0)).collect() == []
+    assert vectors.sizes(10**10)[1] > vectors.sizes(10**6)[1] > vectors.sizes(1000)[1]
 
 
 def test_warc_salvage_and_splits(tmp_path, spark):
