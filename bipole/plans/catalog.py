@@ -89,7 +89,7 @@ def token_count(spark, d):
 
 
 def char_ngrams_count(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(C.char_ngrams(F.col("text"))).cast("bigint").alias("n_grams"))
+    return table(spark, d, "documents").select("doc_id", similarity.gram_count("text").alias("n_grams"))
 
 
 def ngram_jaccard_pairs(spark, d):
