@@ -262,6 +262,51 @@ def test_secret_lexing():
     assert not any(secrets.scan(t) for t in ('password = "your_password_here"', 'token_count = "123456789abc"', 'url = "9f8e7d6c5b4a39281706"', "password=", None, ""))
 
 
+def test_secrets_of_more_syntaxes():
+    key = "9f8e7d6c5b4a39281706"
+    far = "x" * 112 + "_password"
+    hit = {
+        'password = "MyDogRex2019x9Q"': "MyDogRex2019x9Q", f'api_key = "Test{key}"': f"Test{key}", 'secret_key = "thE9f8e7d6c5b4a392"': "thE9f8e7d6c5b4a392", f'{far} = "{key}"': key,
+        f"db:\n  password: |\n    {key}\n  port: 5432\n": key, f"token: >-\n  {key}\n  {key}\nnext: 1": f"{key}\n  {key}", f"- secret: |\n    {key}\n- other: 1": key,
+        f"<config><password>{key}</password></config>": key, f'<add name="password" value="{key}"/>': key, f"<entry key='api_key'>\n {key} </entry>": key, f"<db:password>{key}</db:password>": key,
+        f'password: str = "{key}"': key, f"run --password={key} -v": key, f'getenv("{"N" * 100}", "x"); token = os.getenv("{"T" * 100}", "{key}")': key, f'A = "{key}"; secret = {{"x": 1}}; password = A': key,
+    }
+    for text, value in hit.items():
+        assert value in [text[s[0] : s[1]] for s in secrets.scan(text)], text
+    for value in ("your_password_here", "changeme", "<your-token>", "insert token here", "example_api_key", "${VAULT_TOKEN}", "xxxxxxxx", "not_set", "None", "my_stripe_token", "********"):
+        assert not secrets.scan(f'password = "{value}"'), value
+    assert not secrets.scan("<password>your password</password> <b>bold</b> <a name='x' value='1'>t</a>")
+
+
+def brute_secrets(text):
+    """A grammar of its own for lines NAME = "literal" | NAME = NAME: character by character, without regular expressions."""
+    known, found = {}, set()
+    at = 0
+    for line in text.split("\n"):
+        name, _, value = line.partition(" = ")
+        if value[:1] == '"' and value[-1:] == '"':
+            start = at + len(name) + 4
+            known[name] = (value[1:-1], start, start + len(value) - 2)
+        elif value in known:
+            known[name] = known[value]
+        if name in known and secrets.score(name, known[name][0]) >= secrets.THRESHOLD:
+            found.add(known[name][1:])
+        at += len(line) + 1
+    return found
+
+
+def test_secrets_against_a_lexer_for_a_small_grammar():
+    rng = random.Random(71)
+    names = ["user", "db_password", "apiKey", "token_count", "SECRET", "path", "aws_secret_access_key", "title"]
+    for _ in range(300):
+        lines = []
+        for _ in range(rng.randrange(1, 9)):
+            value = rng.choice(['"' + "".join(rng.choice("abcdef0123456789XYZ") for _ in range(rng.randrange(1, 40))) + '"', rng.choice(names), '"your_token_here"'])
+            lines.append(f"{rng.choice(names)} = {value}")
+        text = "\n".join(lines)
+        assert {s[:2] for s in secrets.scan(text)} == brute_secrets(text), text
+
+
 def test_long_secrets():
     rng = random.Random(14)
     key = "".join(rng.choice("0123456789abcdefXYZ") for _ in range(20000))
