@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_kd_sharding": sharding.op8_kd_sharding,
         "op9_embedding_near_dedup": vectors.op9_embedding_near_dedup,
         "op10_language_id": language.op10_language_id,
+        "kd_shards_small": sharding.kd_shards_small,
         "passage_spans": substrings.passage_spans,
         "planted_vectors": vectors.planted_vectors,
         "pipeline": corpus_pipeline.run,
@@ -30,7 +31,9 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": decontaminate.OP4_SQL,
         "op5_warc_salvage": warc.OP5_SQL,
         "op6_jaccard_join": jaccard.OP6_SQL,
+        "op8_kd_sharding": sharding.OP8_SQL,
         "op9_embedding_near_dedup": vectors.OP9_SQL,
+        "kd_shards_small": sharding.SMALL_SQL,
         "passage_spans": substrings.SPANS_SQL,
         "planted_vectors": vectors.PLANTED_SQL,
     }

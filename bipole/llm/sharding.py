@@ -82,3 +82,36 @@ def shards(documents: DataFrame, *, target_bytes: int = TARGET_BYTES) -> DataFra
 
 def op8_kd_sharding(spark, sf_dir: str) -> DataFrame:
     return shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def kd_shards_small(spark, sf_dir: str) -> DataFrame:
+    """The same over the whole table with shards of 100 kB, so that small tables are split as well."""
+    return shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), target_bytes=100_000)
+
+
+def _sql(target: int) -> str:
+    width = ", ".join(f"(max(d{i}) over (partition by node) - min(d{i}) over (partition by node)) / e{i}::double w{i}" for i in range(4))
+    axis = " ".join(f"when w{i} = widest then {i}" for i in range(3))
+    return f"""
+with recursive la as (select lang, row_number() over (order by lang nulls first) - 1 r from (select distinct lang from documents)),
+so as (select source, row_number() over (order by source nulls first) - 1 r from (select distinct source from documents)),
+base as (select row_number() over () rid, doc_id, la.r d0, so.r d1, coalesce(length(text), 0) d2, coalesce(doc_id, -4611686018427387904) d3, coalesce(strlen(text), 0) w
+  from documents d join la on d.lang is not distinct from la.lang join so on d.source is not distinct from so.source),
+extents as (select {", ".join(f"greatest(1, max(d{i}) - min(d{i})) e{i}" for i in range(4))} from base),
+tree as (
+  select rid, d0, d1, d2, d3, w, '1' node from base
+  union all
+  select rid, d0, d1, d2, d3, w, node || case when v <= case when med >= top then med - 1 else med end then '0' else '1' end
+  from (select *, min(case when run >= bytes / 2.0 then v end) over (partition by node) med, max(v) over (partition by node) top
+    from (select *, sum(w) over (partition by node order by v range between unbounded preceding and current row) run
+      from (select *, case axis when 0 then d0 when 1 then d1 when 2 then d2 else d3 end v
+        from (select *, case {axis} else 3 end axis
+          from (select *, greatest(w0, w1, w2, w3) widest
+            from (select tree.*, sum(w) over (partition by node) bytes, extents.*, {width} from tree, extents))))))
+  where bytes > {target} and widest > 0),
+leaves as (select rid, arg_max(node, length(node)) node from tree group by rid)
+select doc_id, (dense_rank() over (order by node) - 1)::bigint shard, (sum(w) over (partition by node))::bigint shard_bytes from leaves join base using (rid)
+"""
+
+
+OP8_SQL, SMALL_SQL = _sql(TARGET_BYTES), _sql(100_000)

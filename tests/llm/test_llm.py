@@ -190,6 +190,90 @@ def test_packing_is_exact_and_tight(spark):
     assert len(used) <= 1.02 * sum(tokens.values()) / 100 + 1
 
 
+def naive_best_fit(sizes, capacity):
+    bins = []
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        fitting = [b for b in bins if b[0] + sizes[i] <= capacity]
+        if fitting:
+            best = max(fitting, key=lambda b: b[0])
+            best[0] += sizes[i]
+            best[1].append(i)
+        else:
+            bins.append([sizes[i], [i]])
+    return bins
+
+
+@pytest.mark.parametrize("up", [256, 3])
+def test_packing_against_a_naive_tree(spark, up):
+    rng = random.Random(27)
+    docs = spark.createDataFrame([(i, "x" * rng.choice([3, 30, 70, 150, 210, 260, 300, 380, 399, 1000])) for i in range(500)], "doc_id bigint, text string").repartition(9).cache()
+    nodes = defaultdict(list)
+    for r in docs.selectExpr("spark_partition_id() node", "doc_id", "length(text) n").collect():
+        full, rest = divmod(r["n"] // 4 + 1, 100)
+        nodes[r["node"]] += [(100, [(r["doc_id"], p)]) for p in range(full)] + [(rest, [(r["doc_id"], full)])]
+    want, level, whole = [], {}, []
+    for node, items in nodes.items():
+        whole += [frozenset(x) for n, x in items if n == 100]
+        level[node] = [(n, x) for n, x in items if 0 < n < 100]
+    first = True
+    while True:
+        packed = {k: [(n, [x for i in held for x in level[k][i][1]]) for n, held in naive_best_fit([n for n, _ in level[k]], 100)] for k in level}
+        roomy = {k: sorted((b for b in packed[k] if b[0] < 98), key=lambda b: b[0])[:up] for k in packed}
+        last = not first and max(packed) == 0
+        for k in packed:
+            want += [n for n, x in packed[k] if last or not any(x == y for _, y in roomy[k])]
+        if last or not any(roomy.values()):
+            break
+        if max(k for k in roomy if roomy[k]) == 0:
+            want += [n for k in roomy for n, _ in roomy[k]]
+            break
+        level, first = defaultdict(list), False
+        for k in sorted(roomy):
+            level[k // 2] += roomy[k]
+    used = defaultdict(int)
+    for r in packing.pack(docs, capacity=100, fan_in=2, up=up).collect():
+        used[r["bin_id"]] += r["n_tokens"]
+    assert sorted(used.values()) == sorted(want + [100] * len(whole))
+
+
+def test_packing_sends_few_bins_up(spark):
+    docs = spark.createDataFrame([(i, "x" * 4396) for i in range(20000)], "doc_id bigint, text string").repartition(6)  # of 1100 tokens, no two to a bin
+    bins = packing.pack(docs, up=50).select("bin_id").distinct().collect()
+    assert len(bins) == 20000 and sum(not b["bin_id"].startswith("0.") for b in bins) <= 6 * 50
+
+
+def brute_shards(rows, target):
+    """rows of (key, point, weight): the leaf paths by recursion over lists."""
+    extent = [max(1, max(p[i] for _, p, _ in rows) - min(p[i] for _, p, _ in rows)) for i in range(4)]
+    out = {}
+
+    def split(part, path):
+        width = [(max(p[i] for _, p, _ in part) - min(p[i] for _, p, _ in part)) / extent[i] for i in range(4)]
+        if sum(w for *_, w in part) <= target or max(width) == 0:
+            out.update((k, path) for k, *_ in part)
+            return
+        axis, total, run = width.index(max(width)), sum(w for *_, w in part), 0
+        for value in sorted({p[axis] for _, p, _ in part}):
+            run += sum(w for _, p, w in part if p[axis] == value)
+            if run >= total / 2:
+                break
+        cut = value - 1 if value == max(p[axis] for _, p, _ in part) else value
+        split([x for x in part if x[1][axis] <= cut], path + "0")
+        split([x for x in part if x[1][axis] > cut], path + "1")
+
+    split(rows, "1")
+    order = {path: n for n, path in enumerate(sorted(set(out.values())))}
+    return {k: order[path] for k, path in out.items()}
+
+
+def test_kd_shards_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.collect()
+    langs, sources = sorted({r["lang"] for r in rows}), sorted({r["source"] for r in rows})
+    want = brute_shards([(r["doc_id"], (langs.index(r["lang"]), sources.index(r["source"]), len(r["text"]), r["doc_id"]), len(r["text"].encode())) for r in rows], 30_000)
+    assert {r["doc_id"]: r["shard"] for r in sharding.shards(docs, target_bytes=30_000).collect()} == want and len(set(want.values())) > 8
+
+
 def test_kd_shards(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sharding.shards(docs, target_bytes=40_000).collect()
