@@ -1,8 +1,8 @@
 """WARC files: a writer and a salvage reader.
 
-The reader takes byte ranges of files, as splits of a large file. In its range it reads record by record: gzip members (each one record) or plain records. Whatever fails
+The reader takes byte ranges of files, as splits of a large file. In its range it reads gzip members, of one record or several, or plain records. Whatever fails
 a check - the deflate stream, its CRC and length, the version line, the header, the Content-Length with the blank lines after the block, the block digest - is quarantined:
-the reader searches for the next member or version line that begins a valid record, goes on there, and logs the gap's bytes and reason.
+the reader searches for the next member or version line that begins a valid record, goes on there, and logs the gap's bytes and reason. Whole records that a broken member yields before its fault are kept.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from bipole.llm.common import arrow_map, shared_dir
 SPLIT_BYTES = 64 << 20
 _READ = 1 << 16
 _MAGIC = b"\x1f\x8b\x08"
-_VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
-_BEGIN = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
-_LONGEST_HEADER = 1 << 20
+_VERSION = re.compile(rb"WARC/\d\.\d{1,2}\r?\n")
+_BEGIN = re.compile(rb"\x1f\x8b\x08|WARC/\d\.")
+_FIELD = re.compile(rb"([!#$%&'*+\-.^_`|~0-9A-Za-z]++)[ \t]*+:([^\x00-\x08\x0a-\x1f]*+)")
+_DIGESTS = {"md5": hashlib.md5, "sha1": hashlib.sha1, "sha-1": hashlib.sha1, "sha256": hashlib.sha256, "sha-256": hashlib.sha256, "sha512": hashlib.sha512, "sha-512": hashlib.sha512}
 _SCHEMA = "path string, offset bigint, length bigint, kind string, reason string, record_type string, target_uri string, warc_date string, headers map<string,string>, block binary"
 _ARROW = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("reason", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
 
@@ -57,66 +58,146 @@ class _Source:
             offset += max(1, len(piece) - 6)  # one less than the longest begin
 
 
-def _parse(record: bytes, exact: bool) -> tuple[dict[str, str], bytes, int] | str:
-    """(headers, block, bytes used) of the record at the start, or what is wrong with it."""
-    m = _VERSION.match(record)
+def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | str:
+    """(headers, where the block begins), or what is wrong; ``header end`` if the data ends before the header does. A line that begins with a space or tab goes on with the one before."""
+    m = _VERSION.match(data, at)
     if not m:
-        return "version line"
-    split = record.find(b"\r\n\r\n", m.end() - 2, _LONGEST_HEADER)
-    if split < 0:
-        return "header end"
+        return "header end" if len(data) - at < 12 and b"WARC/".startswith(data[at : at + 5][:5]) else "version line"
     headers: dict[str, str] = {}
-    for line in record[m.end() : split].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
-        if not colon:
+    at, last = m.end(), None
+    while True:
+        if data.startswith(b"\r\n", at):
+            return headers, at + 2
+        folded = last is not None and data[at : at + 1] in (b" ", b"\t")
+        m = _FIELD.match(data, at) if not folded else None
+        end = m.end() if m else data.find(b"\r\n", at) if folded else at
+        if end < 0 or end >= len(data) - 1:
+            return "header end"
+        if not data.startswith(b"\r\n", end):
             return "header line"
-        headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        if folded:
+            headers[last] = f"{headers[last]} {data[at:end].decode('utf-8', 'replace').strip()}".strip()
+        else:
+            last = m[1].decode("ascii").lower()
+            headers[last] = m[2].decode("utf-8", "replace").strip()
+        at = end + 2
+
+
+def _length(headers: dict[str, str]) -> int | None:
     length = headers.get("content-length", "")
-    if not (length.isascii() and length.isdigit()):
-        return "content length"
-    start, end = split + 4, split + 4 + int(length)
-    if end > len(record) or record[end : end + 4] != b"\r\n\r\n" or (exact and end + 4 != len(record)):
+    return int(length) if length.isascii() and length.isdigit() and len(length) < 19 else None
+
+
+def _parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
+    """(headers, block, end) of the record at ``at``, or what is wrong with it. Digests of a kind that isn't known aren't checked."""
+    found = _header(data, at)
+    if isinstance(found, str):
+        return found
+    headers, start = found
+    length = _length(headers)
+    if length is None or start + length > len(data) or data[start + length : start + length + 4] != b"\r\n\r\n":
         return "content length"
-    block, digest = record[start:end], headers.get("warc-block-digest", "")
-    if digest.lower().startswith("sha1:"):
-        want = digest[5:]
-        real = hashlib.sha1(block).digest()
-        if want not in (base64.b32encode(real).decode(), real.hex()) and want.upper() != base64.b32encode(real).decode():
+    block = data[start : start + length]
+    kind, colon, want = headers.get("warc-block-digest", "").partition(":")
+    if colon and kind.lower() in _DIGESTS:
+        real, want = _DIGESTS[kind.lower()](block).digest(), want.strip()
+        if want.lower() != real.hex() and want.upper().rstrip("=") != base64.b32encode(real).decode().rstrip("=") and want != base64.b64encode(real).decode():
             return "block digest"
-    return headers, block, end + 4
+    return headers, block, start + length + 4
+
+
+def _split(data: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[str, int]]]:
+    """The valid records of inflated data, and (reason, bytes) of what lies between them."""
+    records, gaps, at = [], [], 0
+    while at < len(data):
+        found = _parse(data, at)
+        if not isinstance(found, str):
+            records.append(found[:2])
+            at = found[2]
+            continue
+        on = next((m.start() for m in _VERSION.finditer(data, at + 1) if not isinstance(_parse(data, m.start()), str)), len(data))
+        gaps.append((found, on - at))
+        at = on
+    return records, gaps
+
 
+#: What a place of a file holds: its valid records, (reason, bytes) of what was lost among them, and the bytes of the file that it takes.
+_Found = tuple[list[tuple[dict[str, str], bytes]], list[tuple[str, int]], int]
 
-def _member(source: _Source, offset: int) -> tuple[dict[str, str], bytes, int] | str:
+
+def _inflate(source: _Source, offset: int) -> tuple[bytes, int, str | None]:
+    """(data, bytes of the member, what broke it) - with a fault all that came before it."""
     inflate, parts, at = zlib.decompressobj(31), [], offset
     try:
         while not inflate.eof:
             piece = source.at(at, _READ)
             if not piece:
-                return "member truncated"
+                return b"".join(parts), at - offset, "member truncated"
+            kept = inflate.copy()
             got = inflate.decompress(piece)
-            if not parts and got and not b"WARC/1.".startswith(got[:7]) and not got.startswith(b"WARC/1."):
-                return "version line"
+            if got and not parts and not (got[:5] == b"WARC/" or b"WARC/".startswith(got[:5])):
+                return b"", at - offset, "version line"
             parts += [got] if got else []
             at += len(piece) - len(inflate.unused_data)
     except zlib.error:
-        return "member check"
-    parsed = _parse(b"".join(parts), True)
-    return parsed if isinstance(parsed, str) else (parsed[0], parsed[1], at - offset)
-
-
-def _plain(source: _Source, offset: int) -> tuple[dict[str, str], bytes, int] | str:
-    head = source.at(offset, _READ)
-    while (split := head.find(b"\r\n\r\n")) < 0 and len(head) < min(_LONGEST_HEADER, source.size - offset):
-        head = source.at(offset, 2 * len(head))
-    m = re.search(rb"\r\nContent-Length:[ \t]*(\d{1,18})[ \t]*\r\n", head[: split + 2], re.I) if split >= 0 else None
-    return _parse(source.at(offset, split + 8 + int(m[1])) if m else head, False)
+        return b"".join([*parts, *_until_fault(kept, piece)]), at - offset, "member check"
+    return b"".join(parts), at - offset, None
+
+
+def _until_fault(inflate, piece: bytes) -> Iterator[bytes]:
+    """What a piece yields before its fault: in ever smaller steps, since a call that fails yields nothing."""
+    for step in (1024, 32, 1):
+        try:
+            while piece:
+                kept = inflate.copy()
+                yield inflate.decompress(piece[:step])
+                piece = piece[step:]
+        except zlib.error:
+            inflate = kept
+            piece = piece[:step]
+
+
+def _member(source: _Source, offset: int) -> _Found | str:
+    data, used, fault = _inflate(source, offset)
+    if fault:
+        return fault
+    records, gaps = _split(data)
+    return (records, gaps, used) if records else gaps[0][0] if gaps else "version line"
+
+
+def _plain(source: _Source, offset: int) -> _Found | str:
+    n = _READ
+    while True:
+        head = source.at(offset, n)
+        found = _header(head, 0)
+        if found != "header end" or len(head) >= source.size - offset:
+            break
+        n *= 2
+    if isinstance(found, str):
+        return found
+    length = _length(found[0])
+    if length is None:
+        return "content length"
+    parsed = _parse(source.at(offset, found[1] + length + 4))
+    return parsed if isinstance(parsed, str) else ([parsed[:2]], [], parsed[2])
 
 
-def _valid_at(source: _Source, offset: int) -> tuple[dict[str, str], bytes, int] | str:
+def _valid_at(source: _Source, offset: int) -> _Found | str:
     first = source.at(offset, 8)
     if first[:3] == _MAGIC:
         return _member(source, offset)
-    return _plain(source, offset) if first.startswith(b"WARC/1.") else "version line"
+    return _plain(source, offset) if _BEGIN.match(first) else "version line"
+
+
+def _rescued(source: _Source, start: int, end: int) -> Iterator[tuple[int, tuple[dict[str, str], bytes]]]:
+    """(offset, record) of whole records that broken members in [start, end) yield before their fault."""
+    for at in source.begins(start):
+        if at >= end:
+            return
+        if source.at(at, 3) == _MAGIC:
+            data, _, fault = _inflate(source, at)
+            if fault and data:
+                yield from ((at, r) for r in _split(data)[0])
 
 
 def _next_valid(source: _Source, offset: int) -> int:
@@ -128,24 +209,39 @@ def _next_valid(source: _Source, offset: int) -> int:
 
 
 def salvage(file: BinaryIO, size: int, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
-    """(offset, length, reason, headers, block) of the records and gaps that begin in [start, end); a gap has a reason and no block.
+    """(offset, length, reason, headers, block) of the records and gaps that begin in [start, end); a gap has a reason and no block. The first record of a member has the member's length, further
+    ones have 0, and so have gaps inside a member, whose reason tells how many inflated bytes they are; a record out of a broken member has 0, its bytes count in the gap that follows.
 
-    A range that doesn't begin the file skips to its first valid record, since the range before logs the gap up to there.
+    A range that doesn't begin the file skips to its first valid record, since the range before goes on to there and logs the gap.
     """
     source, end = _Source(file, size), size if end is None else end
     at = start if start == 0 else _next_valid(source, start)
-    while at < min(end, size):
+    if at >= end:
+        return  # the range before goes up to there
+    while at < size:
         found = _valid_at(source, at)
+        if at >= end and not isinstance(found, str):
+            return
         if isinstance(found, str):
             on = _next_valid(source, at + 1)
+            for offset, (headers, block) in _rescued(source, at, on):
+                yield offset, 0, None, headers, block
             yield at, on - at, found, {}, b""
             at = on
         else:
-            headers, block, used = found
-            yield at, used, None, headers, block
+            records, gaps, used = found
+            for i, (headers, block) in enumerate(records):
+                yield at, 0 if i else used, None, headers, block
+            for reason, n in gaps:
+                yield at, 0, f"{reason}: {n} bytes inside a member", {}, b""
             at += used
 
 
+def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI and the path in it; Hadoop's names for S3 are the same store."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def read_warc(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Rows (path, offset, length, kind, reason, record_type, target_uri, warc_date, headers, block) of all WARC files under ``path``: kind ``record``, or ``gap`` with the
     reason why its bytes were quarantined, and no headers and block.
@@ -160,7 +256,7 @@ def read_warc(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES)
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for where, size, start in zip(*(batch[c].to_pylist() for c in ("path", "size", "start")), strict=True):
-            store, inner = pafs.FileSystem.from_uri(where)
+            store, inner = _filesystem(where)
             rows, held = [], 0
             with store.open_input_file(inner) as file:
                 for at, n, reason, headers, block in salvage(file, size, start, start + split_bytes):
@@ -189,7 +285,8 @@ def gzip_member(data: bytes, level: int = 3) -> bytes:
 
 def write_warc(pages: DataFrame, folder: str, *, date: str = "2024-01-01T00:00:00Z", damage: F.Column | None = None) -> int:
     """Write (page_id, url, html) as gzipped WARC files, one a partition, and return how many rows were written. The rows of a null ``html`` are left out, a null
-    url becomes the empty URI. ``damage``, a binary column, is written before a row's record as it is, to test readers.
+    url becomes the empty URI and a null page_id the empty X-Page-ID. Empty and very long pages are written whole, repeated rows repeatedly; a table or partition without rows writes
+    no file; further columns aren't read. ``damage``, a binary column, is written before a row's record as it is, to test readers.
 
     A task writes under a name of its own attempt and renames the file when it is whole, so that lost or repeated tasks leave no halves.
     """
@@ -202,7 +299,7 @@ def write_warc(pages: DataFrame, folder: str, *, date: str = "2024-01-01T00:00:0
             for page, url, html, bad, number in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "damage", "part")), strict=True):
                 if out is None:
                     part = number
-                    store, inner = pafs.FileSystem.from_uri(folder)
+                    store, inner = _filesystem(folder)
                     store.create_dir(inner, recursive=True)
                     temporary, final = f"{inner}/_attempt-{uuid.uuid4().hex}", f"{inner}/part-{part:05d}.warc.gz"
                     out = store.open_output_stream(temporary, compression=None)
