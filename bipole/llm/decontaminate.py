@@ -129,11 +129,25 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, k: int = K, w:
     return pairs.groupBy("doc_id", "item_id").agg(F.max("longest_words").alias("longest_words"), F.max("n_spans").alias("n_spans"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = K, w: int = W) -> DataFrame:
-    """docs without the documents that share a span of k + w - 1 words or more with a benchmark item; the columns are those of docs. Documents
-    with a null id or text stay."""
-    bad = contamination(docs.where("doc_id is not null"), benchmark, k=k, w=w).select(F.col("doc_id").alias("_contaminated")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_contaminated"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = K, w: int = W, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs whose text shares no span of k + w - 1 words with a benchmark item, with all their columns.
+
+    A benchmark of up to ``broadcast_bytes`` goes to every task, and rows are dropped where they are read; with a larger one they are joined by a hash of their text. Null and empty texts
+    stay, texts of any length are read whole; it is the text that counts, so repeated rows and rows that share an id, or have none, are judged each by itself. An
+    empty table stays empty, an empty benchmark drops nothing, further columns of any type are carried along.
+    """
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null")
+    if fits(items, broadcast_bytes, "text"):
+        index = docs.sparkSession.sparkContext.broadcast(Index([r["text"] for r in items.select("text").collect()], k, w))
+
+        def scan(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            bad = {found[0] for found in index.value.spans(batch["text"].to_pylist())}
+            yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)])) if bad else batch
+
+        return arrow_map(docs, scan, docs.schema)
+    key = F.xxhash64("text")
+    bad = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, k=k, w=w, broadcast_bytes=broadcast_bytes).select(F.col("doc_id").alias("_contaminated")).distinct()
+    return docs.join(bad, key == bad["_contaminated"], "left_anti")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

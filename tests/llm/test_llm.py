@@ -144,6 +144,30 @@ def test_contamination_with_null_ids_both_ways(spark):
     assert ways[0] == ways[1] and len(ways[0]) == 5
 
 
+def test_decontaminate_drops_rows_by_text_both_ways(spark):
+    rng = random.Random(25)
+    bad, good = prose(rng, 40), prose(rng, 40)
+    rows = [(1, bad, {"a": 1}), (1, good, None), (None, bad, None), (None, good, {"b": 2}), (2, None, None), (3, "", None), (4, "x " + bad, None), (5, good, None), (5, good, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, item_id map<string,int>")
+    bench = spark.createDataFrame([(7, bad, 1), (None, None, 2)], "item_id bigint, text string, doc_id int")
+    for limit in (decontaminate.BROADCAST_BYTES, 0):
+        got = decontaminate.decontaminate(docs, bench, broadcast_bytes=limit).collect()
+        assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == sorted((str(i), str(t)) for i, t, _ in rows if not t or bad not in t)
+        assert decontaminate.decontaminate(docs, bench.limit(0), broadcast_bytes=limit).count() == len(rows)
+        assert decontaminate.decontaminate(docs.limit(0), bench, broadcast_bytes=limit).columns == docs.columns
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path, odd, none):
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, docs in (("odd", odd.where("doc_id is null or doc_id <> 7").unionByName(spark.read.parquet(f"{SF}/documents.parquet").limit(80), allowMissingColumns=True)), ("none", none)):
+        os.makedirs(f"{tmp_path}/{name}")
+        os.symlink(f"{tmp_path}/benchmark.parquet", f"{tmp_path}/{name}/benchmark.parquet")
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns == ["bin_id", "position", "doc_id", "piece", "token_start", "n_tokens"]
+        assert (out.count() > 50) == (name == "odd")
+
+
 def test_repeated_spans_against_brute_force(spark):
     rng = random.Random(6)
     shared = [prose(rng, n).split() for n in (10, 30, 70, 200, 45)]
