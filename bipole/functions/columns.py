@@ -38,9 +38,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors differ in length")).cast("double")).when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
 
 
-def seeded(seed: int, *parts: Column) -> Column:
-    """The key of a seeded shuffle: an MD5, which any engine can repeat."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+def seeded(seed: int | Column, *parts: Column) -> Column:
+    """The key of a seeded shuffle: an MD5, which any engine can repeat. A column as seed gives each of its values a shuffle of its own."""
+    return F.md5(F.concat_ws(":", seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), *[p.cast("string") for p in parts]))
 
 
 def softmax_positive(positive: Column, negative: Column) -> Column:

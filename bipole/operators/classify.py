@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from bipole.functions import columns as C
 from bipole.operators import pools
-from bipole.operators.backends import CHOICES, COMPLETION_TOKENS, BackendFactory, complete_all, score_all
+from bipole.operators.backends import CHOICES, COMPLETION_TOKENS, BackendFactory, complete_all, score_all, token_counter
 from bipole.operators.pools import BudgetSelector, Selector
-from bipole.operators.similarity import NearestSelector
+from bipole.operators.similarity import DiversitySelector, NearestSelector
 
 
 def metrics(predicted: DataFrame, positive, truth: str = "truth", guess: str = "prediction", p_positive: str = "p_positive") -> DataFrame:
@@ -64,23 +64,28 @@ class PromptClassifier:
         self.pool_ = pools.make_pool(df, pos_label=self.classes_[1])
         scoring = self.backend.can("score_choices") or self.backend.can("score_choices_batch")
         reserve = max(len(c) // 4 + 1 for c in CHOICES) if scoring else COMPLETION_TOKENS
-        self.budget_ = pools.class_budget(self.pool_, self.context_limit, reserve)
+        count = token_counter(self.backend)
+        self.budget_ = pools.class_budget(self.pool_, self.context_limit, reserve, count)
         self.scoring_ = scoring
         if not (self.selector and self.selector.query_aware):
-            selector = self.selector or BudgetSelector(self.budget_, self.seed)
+            selector = self.selector or BudgetSelector(self.budget_, self.seed, count)
             chosen = selector.select(self.pool_, self.max_exemplars if self.max_exemplars is not None else 2**31 - 1)
-            even = pools.balance(pools.trim_to_budget(chosen.select("pos", "side", "text"), self.budget_).drop("rank"), self.seed)
+            even = pools.balance(pools.trim_to_budget(chosen.select("pos", "side", "text"), self.budget_, tokens=count(F.col("text"))).drop("rank"), self.seed)
             self.exemplars_ = even
             row = prefix_of(even).first()
             self.prefix_ = row["prefix"] if row else ""
             if not self.prefix_:
                 warnings.warn("one side has no exemplars: the prompt is zero-shot", stacklevel=2)
             if scoring and self.calibrate:
-                p, n = score_all(self.backend.get(), self.prefix_, ["Text: \nLabel:"])[0]
-                top = max(p, n)
-                import math
+                prefix, backend = self.prefix_, self.backend
 
-                self.free_positive_ = math.exp(p - top) / (math.exp(p - top) + math.exp(n - top))
+                def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # in a task, where models live
+                    for b in batches:
+                        if len(b):
+                            yield pd.DataFrame(score_all(backend.get(), prefix, ["Text: \nLabel:"]), columns=["p", "n"])
+
+                free = df.sparkSession.range(1).coalesce(1).mapInPandas(run, "p double, n double")
+                self.free_positive_ = free.select(C.softmax_positive(F.col("p"), F.col("n")).alias("x")).first()["x"]
         return self
 
     def predict_proba(self, queries: DataFrame) -> DataFrame:
@@ -124,7 +129,7 @@ class PromptClassifier:
         k = self.max_exemplars if self.max_exemplars is not None else 5
         chosen = self.selector.select(self.pool_, k, queries.select(F.col("query_id").cast("bigint").alias("query_id"), "text"))
         # trim and balance each query's exemplars: side and query make the group of the fold
-        rows = chosen.select("query_id", "pos", "side", "text").withColumn("c", C.token_count(F.col("text"))).where(F.col("c") <= self.budget_)
+        rows = chosen.select("query_id", "pos", "side", "text").withColumn("c", token_counter(self.backend)(F.col("text"))).where(F.col("c") <= self.budget_)
         fold = F.expr(f"aggregate(xs, named_struct('t', 0L, 's', cast(array() as array<struct<pos:bigint,text:string>>)), (acc, x) -> if(acc.t + x.c <= {self.budget_}L, named_struct('t', acc.t + x.c, 's', array_append(acc.s, struct(x.pos, x.text))), acc)).s")
         sides = rows.groupBy("query_id", "side").agg(F.array_sort(F.collect_list(F.struct("pos", "c", "text"))).alias("xs")).select("query_id", "side", fold.alias("xs"))
         both = sides.groupBy("query_id").agg(F.first(F.when(F.col("side") == C.POSITIVE, F.col("xs")), True).alias("p"), F.first(F.when(F.col("side") == C.NEGATIVE, F.col("xs")), True).alias("n"))
@@ -155,24 +160,41 @@ class PromptClassifier:
             p = C.completion_probability(C.parsed_label(F.col("raw")))
         return scores.select("query_id", (1 - p).alias("p_negative"), p.alias("p_positive"))
 
+    def copy(self, **changes) -> PromptClassifier:
+        """One that isn't fitted, with the same parameters but for the changes; it shares the backend."""
+        return replace(self, **changes)
+
     def save(self, path: str) -> None:
-        """Pool as Parquet and the rest as JSON beside it; the backend isn't saved."""
+        """Pool and exemplars as Parquet, the selector's kind and the rest as JSON beside them; the backend isn't saved."""
         self.pool_.write.mode("overwrite").parquet(f"{path}/pool")
-        state = {"classes": list(self.classes_), "prefix": self.prefix_, "free": self.free_positive_, "budget": self.budget_, "scoring": self.scoring_, "max_exemplars": self.max_exemplars, "context_limit": self.context_limit, "temperature": self.temperature, "seed": self.seed, "query_aware": self.prefix_ is None}
+        if self.prefix_ is not None:
+            self.exemplars_.write.mode("overwrite").parquet(f"{path}/exemplars")
+        kind = type(self.selector).__name__ if self.selector else None
+        own = bool(kind in _SELECTORS and not getattr(self.selector, "similarity_fn", None))
+        state = {"classes": list(self.classes_), "prefix": self.prefix_, "free": self.free_positive_, "budget": self.budget_, "scoring": self.scoring_, "max_exemplars": self.max_exemplars, "context_limit": self.context_limit, "temperature": self.temperature, "seed": self.seed, "query_aware": self.prefix_ is None, "selector": kind, "rebuilt": own}
         spark = self.pool_.sparkSession
         spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, backend: BackendFactory, selector: Selector | None = None, calibrate: bool = True) -> PromptClassifier:
+        """A classifier as it was saved. A query-aware selector that can't be made again from its kind - one of a custom function - has to be given, else it is a ValueError."""
         state = json.loads(spark.read.text(f"{path}/state").first()[0])
+        if selector is None and state["rebuilt"]:
+            selector = _SELECTORS[state["selector"]]()
         if state["query_aware"] and not (selector and selector.query_aware):
-            selector = NearestSelector()
+            raise ValueError(f"saved with the query-aware selector {state['selector']}: give one to load it with")
         own = cls(backend, selector, state["max_exemplars"], state["context_limit"], state["temperature"], calibrate, None, state["seed"])
         own.classes_, own.prefix_, own.free_positive_, own.budget_, own.scoring_ = tuple(state["classes"]), state["prefix"], state["free"] if calibrate else None, state["budget"], state["scoring"]
         own.pool_ = spark.read.parquet(f"{path}/pool")
+        if own.prefix_ is not None:
+            own.exemplars_ = spark.read.parquet(f"{path}/exemplars")
         return own
 
 
+#: Selectors that are made again without arguments; a static one isn't asked again after loading.
+_SELECTORS = {"NearestSelector": NearestSelector, "DiversitySelector": DiversitySelector}
+
+
 def prefix_of(exemplars: DataFrame) -> DataFrame:
     """One row, prefix: the exemplars (pos, side, text) of both sides in turn."""
     side = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("pos", "text")))), lambda x: x["text"])

@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bipole.functions.columns import MIN_SPAN, NEGATIVE, POSITIVE, seeded
+from bipole.functions.columns import MIN_SPAN, NEGATIVE, POSITIVE, numbered, seeded
 from bipole.operators import pools
-from bipole.operators.backends import BackendFactory
+from bipole.operators.backends import BackendFactory, token_counter
 from bipole.operators.similarity import verbatim_spans
 from bipole.operators.structured import HARD_POSITIVE, SYNTHETIC, complete_structured, json_schema
 from bipole.sources.tables import materialise
@@ -100,21 +100,40 @@ class _Sampler:
         if self.method not in ("random", "kmeans", "votek"):
             raise ValueError("sample method must be random, kmeans or votek")
 
+    def _chosen(self, examples: DataFrame, budget: int, first: int, batches: int) -> DataFrame:
+        """(batch, side, pos, text) of what the prompts show: each batch shuffles the examples by a seed of its own, takes what fits, and evens the sides out."""
+        own = F.lit(self.seed * 1_000_003) + F.col("batch")
+        numbers = examples.sparkSession.range(first, first + batches).withColumnRenamed("id", "batch")
+        rows = examples.select("side", "pos", "text").crossJoin(F.broadcast(numbers))  # a row for each prompt that is asked for
+        tokens = token_counter(self.backend)(F.col("text"))
+        chosen = pools.trim_to_budget(rows, budget, seeded(own, F.col("side"), F.col("pos")), tokens, k=self.max_examples, by=("batch", "side")).drop("rank")
+        return pools.balance(chosen, own, by=("batch",)) if self.shows_negatives else chosen
+
     def _examples(self, pool: DataFrame, budget: int, batch: int) -> tuple[list[str], list[str]]:
-        own = self.seed * 1_000_003 + batch
-        if self.method == "random":
-            chosen = pools.trim_to_budget(pool, budget, seeded(own, F.col("side"), F.col("pos")), k=self.max_examples).drop("rank")
-        else:
-            sides = [POSITIVE, NEGATIVE] if self.shows_negatives else [POSITIVE]
-            first, *more = [sample_group(pool.where(F.col("side") == side), budget, self.method, own) for side in sides]
-            chosen = first.unionByName(more[0]) if more else first
-            if self.max_examples is not None:
-                chosen = pools.random_select(chosen, self.max_examples, own)
-        if self.shows_negatives:
-            chosen = pools.balance(chosen, own)
-        rows = chosen.orderBy("pos").collect()
+        """What the prompt of one batch shows, to look at."""
+        rows = self._chosen(self._representatives(pool, budget), budget, batch, 1).orderBy("pos").collect()
         return [r["text"] for r in rows if r["side"] == POSITIVE], [r["text"] for r in rows if r["side"] == NEGATIVE]
 
+    def _prompts(self, examples: DataFrame, budget: int, first: int, batches: int, count: int) -> DataFrame:
+        """(batch, system, user) of all prompts of a round, built in one job."""
+        numbers = examples.sparkSession.range(first, first + batches).withColumnRenamed("id", "batch")
+        chosen = self._chosen(examples, budget, first, batches)
+
+        def shown(side: str) -> F.Column:
+            return F.coalesce(numbered(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "text")))), lambda x: x["text"])), F.lit("(none)"))
+
+        told = chosen.groupBy("batch").agg(shown(POSITIVE).alias("p"), shown(NEGATIVE).alias("n"))
+        said = numbers.join(told, "batch", "left").select("batch", *[F.coalesce(c, F.lit("(none)")).alias(c) for c in "pn"])
+        parts = [F.concat(F.lit("Positive examples:\n"), "p"), *([F.concat(F.lit("Negative examples:\n"), "n")] if self.shows_negatives else []), F.lit(f"Count: {count}"), *([F.lit(f"Write in {self.language}.")] if self.language else [])]
+        return said.select("batch", F.lit(system_message(self.kind)).alias("system"), F.concat_ws("\n\n", *parts).alias("user"))
+
+    def _representatives(self, shown: DataFrame, budget: int) -> DataFrame:
+        """What prompts draw their examples from: all texts, or of each side those that K-Means or Vote-K stand for."""
+        if self.method == "random":
+            return shown
+        first, *more = [sample_group(shown.where(F.col("side") == side), budget, self.method, self.seed * 1_000_003).select("side", "pos", "text") for side in ([POSITIVE, NEGATIVE] if self.shows_negatives else [POSITIVE])]
+        return materialise(first.unionByName(more[0]) if more else first)
+
     def fit_resample(self, df: DataFrame) -> DataFrame:
         """df (pos, text, label) with the accepted texts added under the positive label: pos goes on from the largest, is_generated tells them apart."""
         self._validate()
@@ -133,14 +152,14 @@ class _Sampler:
             return base
         room = self.context_limit - TEMPLATE_TOKENS - self.max_tokens
         budget = room // 2 if self.shows_negatives else room
-        shortest = pool.groupBy("side").agg(F.min((F.length("text") / 4).cast("bigint") + 1).alias("n")).where(F.lit(self.shows_negatives) | (F.col("side") == POSITIVE)).agg(F.max("n")).first()[0]
+        shortest = pool.select("side", token_counter(self.backend)(F.col("text")).alias("c")).groupBy("side").agg(F.min("c").alias("n")).where(F.lit(self.shows_negatives) | (F.col("side") == POSITIVE)).agg(F.max("n")).first()[0]
         if budget < shortest:
             raise ValueError("context_limit leaves no room for an example of each side")
         most, used, done, failed = max(target, math.ceil(target / self.batch_size) * 3), 0, 0, False
         accepted: DataFrame | None = None
         factory, kind, options = self.backend, self.kind, {"temperature": self.temperature, "max_tokens": self.max_tokens}
         texts_of = kind.names[-1]
-        shown = pool if self.shows_negatives else pool.where(F.col("side") == POSITIVE)
+        examples = self._representatives(pool if self.shows_negatives else pool.where(F.col("side") == POSITIVE), budget)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model = factory.get()
@@ -155,11 +174,7 @@ class _Sampler:
 
         while done < target and used < most:
             batches = min(math.ceil((target - done) / self.batch_size), most - used)
-            prompts = []
-            for n in range(used, used + batches):
-                pos, neg = self._examples(shown, budget, n)
-                prompts.append((n, system_message(kind), user_message(pos, neg if self.shows_negatives else None, min(self.batch_size, target - done), self.language)))
-            asked = spark.createDataFrame(prompts, "batch bigint, system string, user string").repartition(min(batches, 64))
+            asked = self._prompts(examples, budget, used, batches, min(self.batch_size, target - done)).repartition(min(batches, 64))
             replies = materialise(asked.mapInPandas(run, "batch bigint, reply string, error string"))
             used += batches
             for e in replies.where("error is not null").orderBy("batch").limit(1).collect():

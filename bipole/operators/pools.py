@@ -43,8 +43,8 @@ def random_select(pool: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return pool.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
-def trim_to_budget(pool: DataFrame, budget: int, order: Column | None = None, tokens: Column | None = None, k: int | None = None) -> DataFrame:
-    """Of each side, in the order given, every row that still fits: one that doesn't is skipped, not the end. Rows over the whole budget are left out
+def trim_to_budget(pool: DataFrame, budget: int, order: Column | None = None, tokens: Column | None = None, k: int | None = None, by: tuple[str, ...] = ("side",)) -> DataFrame:
+    """Of each side (or each group of ``by``), in the order given, every row that still fits: one that doesn't is skipped, not the end. Rows over the whole budget are left out
     before, so that only rows that could be taken are gathered into the fold's one array a side."""
     cost = tokens if tokens is not None else token_count(F.col("text"))
     key = order if order is not None else F.lit("")
@@ -54,22 +54,23 @@ def trim_to_budget(pool: DataFrame, budget: int, order: Column | None = None, to
     items = F.array_sort(F.collect_list(F.struct(key.alias("o"), F.col("pos"), F.col("_c").alias("c"))))
     full = "true" if k is None else f"size(acc.s) < {int(k)}"
     fold = F.expr(f"aggregate(xs, named_struct('t', 0L, 's', cast(array() as array<bigint>)), (acc, x) -> if(acc.t + x.c <= {int(budget)} and {full}, named_struct('t', acc.t + x.c, 's', array_append(acc.s, x.pos)), acc)).s")
-    chosen = rows.groupBy("side").agg(items.alias("xs")).select(F.col("side").alias("_side"), F.posexplode(fold).alias("rank", "_pos"))
-    return pool.join(chosen, (pool["side"] == chosen["_side"]) & (pool["pos"] == chosen["_pos"])).select(*[pool[c] for c in pool.columns], "rank")
+    chosen = rows.groupBy(*by).agg(items.alias("xs")).select(*by, F.posexplode(fold).alias("rank", "pos"))
+    return pool.join(chosen, [*by, "pos"]).select(*pool.columns, "rank")
 
 
-def budget_select(pool: DataFrame, budget: int, k: int | None = None, seed: int = 0) -> DataFrame:
+def budget_select(pool: DataFrame, budget: int, k: int | None = None, seed: int = 0, tokens: Column | None = None) -> DataFrame:
     """trim_to_budget over a seeded shuffle of each side, k rows at most."""
     if budget <= 0:
         raise ValueError("token_budget must be positive")
-    return trim_to_budget(pool, budget, seeded(seed, F.col("side"), F.col("pos")), k=k)
+    return trim_to_budget(pool, budget, seeded(seed, F.col("side"), F.col("pos")), tokens, k=k)
 
 
-def balance(pool: DataFrame, seed: int = 0) -> DataFrame:
-    """Cut the larger side at random to the size of the smaller; with one side empty nothing is left."""
-    ranked = pool.withColumn("_r", F.row_number().over(Window.partitionBy("side").orderBy(seeded(seed, F.col("side"), F.col("pos")), "pos")))
-    least = pool.groupBy("side").agg(F.count(F.lit(1)).alias("n")).agg(F.when(F.count(F.lit(1)) == 2, F.min("n")).otherwise(0).alias("least"))
-    return ranked.crossJoin(F.broadcast(least)).where("_r <= least").drop("_r", "least")  # least is one row
+def balance(pool: DataFrame, seed: int | Column = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cut the larger side (of each group of ``by``) at random to the size of the smaller; with one side empty nothing is left."""
+    ranked = pool.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "side").orderBy(seeded(seed, F.col("side"), F.col("pos")), "pos")))
+    least = pool.groupBy(*by, "side").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.when(F.count(F.lit(1)) == 2, F.min("n")).otherwise(0).alias("least"))
+    both = ranked.join(least, list(by)) if by else ranked.crossJoin(F.broadcast(least))  # without groups least is one row
+    return both.where("_r <= least").select(*pool.columns)
 
 
 def estimate_count(pool: DataFrame, budget: int) -> DataFrame:
@@ -78,9 +79,9 @@ def estimate_count(pool: DataFrame, budget: int) -> DataFrame:
     return first.groupBy("side").agg(F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.avg(token_count(F.col("text"))), F.lit(1e-9)))).cast("bigint").alias("n"))
 
 
-def class_budget(pool: DataFrame, context: int, reserve: int) -> int:
+def class_budget(pool: DataFrame, context: int, reserve: int, count: Callable[[Column], Column] = token_count) -> int:
     """Tokens a class may use: half of the context without the longest text and the reserve."""
-    longest = pool.agg(F.max(token_count(F.col("text")))).first()[0] or 0
+    longest = pool.select(count(F.col("text")).alias("n")).agg(F.max("n")).first()[0] or 0
     budget = (context - (longest + reserve)) // 2
     if budget < 1:
         raise ValueError("context_limit leaves no room for exemplars")
@@ -133,13 +134,13 @@ class RandomSelector(Selector):
 
 
 class BudgetSelector(Selector):
-    def __init__(self, token_budget: int, seed: int = 0):
+    def __init__(self, token_budget: int, seed: int = 0, count: Callable[[Column], Column] = token_count):
         if token_budget <= 0:
             raise ValueError("token_budget must be positive")
-        self.token_budget, self.seed = token_budget, seed
+        self.token_budget, self.seed, self.count = token_budget, seed, count
 
     def select(self, pool, k, queries=None):
-        return budget_select(pool, self.token_budget, k, self.seed).drop("rank")
+        return budget_select(pool, self.token_budget, k, self.seed, self.count(F.col("text"))).drop("rank")
 
 
 class CustomSelector(Selector):

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bipole.sources.tables import materialise
+
 POOL_VECTORS = 200_000
 _models: dict[str, object] = {}
 
@@ -26,6 +28,37 @@ def embed(texts: DataFrame, key: str, load: Callable[[str], Callable], model_nam
     return texts.select(key, "text").join(known, "text").select(key, "embedding")
 
 
+class CosineSimilarity:
+    """A function of two texts: the cosine of their embeddings. It can be sent to tasks; each loads the model once and embeds each text once in a run of comparisons."""
+
+    def __init__(self, load: Callable[[str], Callable], model_name: str):
+        self.load, self.model_name, self._known = load, model_name, {}
+
+    def __getstate__(self):
+        return {"load": self.load, "model_name": self.model_name, "_known": {}}
+
+    def _vector(self, text: str) -> np.ndarray:
+        if text not in self._known:
+            if self.model_name not in _models:
+                _models[self.model_name] = self.load(self.model_name)
+            if len(self._known) >= 10_000:  # a cache, not a result
+                self._known.clear()
+            self._known[text] = np.asarray(_models[self.model_name]([text])[0], np.float64)
+        return self._known[text]
+
+    def __call__(self, a: str, b: str) -> float:
+        x, y = self._vector(a), self._vector(b)
+        if len(x) != len(y):
+            raise ValueError("vectors differ in length")
+        norm = float(np.linalg.norm(x) * np.linalg.norm(y))
+        return float(x @ y) / norm if norm else 0.0
+
+
+def cosine_similarity_fn(load: Callable[[str], Callable], model_name: str) -> CosineSimilarity:
+    """For the selectors' ``similarity_fn``: embeddings instead of n-grams."""
+    return CosineSimilarity(load, model_name)
+
+
 def nearest_vectors(queries: DataFrame, pool: DataFrame, k: int, limit: int = POOL_VECTORS) -> DataFrame:
     """(query_id, pos, cosine, rank) of the k pool vectors nearest to each query other than itself; ties go to the lower pos, a vector of no length has
     cosine 0. A pool beyond ``limit`` vectors is sent to the tasks in blocks of so many, and each query keeps the best k of its best in every block."""
@@ -75,22 +108,30 @@ def votes(neighbours: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 def vote_k(pool: DataFrame, n: int, k: int = 10) -> list[int]:
-    """pos of n vectors: the most voted of those left, the lowest of equals, after which its neighbours lose their votes. The driver holds N times k edges."""
+    """pos of n vectors: the most voted of those left, the lowest of equals, after which its neighbours lose their votes. The edges stay distributed: the driver holds the n picks, and
+    of the tallies only those that may still win, the n * (k + 2) highest, since a pick takes itself and at most k others out."""
     count = pool.count()
     if n >= count:
         return [r[0] for r in pool.select("pos").orderBy("pos").collect()]
-    near = nearest_vectors(pool.withColumnRenamed("pos", "query_id"), pool, min(k, count - 1))
+    k = min(k, count - 1)
+    near = materialise(nearest_vectors(pool.withColumnRenamed("pos", "query_id"), pool, k).select("query_id", "pos"))
+    best = [(r["votes"], r["pos"]) for r in votes(near, pool).orderBy(F.desc("votes"), "pos").limit(n * (k + 2)).collect()]
+    tally, chosen = {p: v for v, p in best}, []
     edges: dict[int, list[int]] = {}
-    tally = {r[0]: 0 for r in pool.select("pos").collect()}
-    for q, p in near.select("query_id", "pos").collect():
-        edges.setdefault(q, []).append(p)
-        tally[p] += 1
-    chosen: list[int] = []
-    while len(chosen) < n:
-        at = min((p for p in tally if p not in chosen), key=lambda p: (-tally[p], p))
+    for r in near.join(F.broadcast(pool.sparkSession.createDataFrame([(p,) for p in tally], "query_id bigint")), "query_id", "left_semi").collect():
+        edges.setdefault(r["query_id"], []).append(r["pos"])
+    while len(chosen) < n and tally:
+        at = min(tally, key=lambda p: (-tally[p], p))
+        if tally[at] == 0:
+            break
         chosen.append(at)
+        del tally[at]
         for p in edges.get(at, []):
-            tally[p] = 0
+            if p in tally:
+                tally[p] = 0
+    if len(chosen) < n:  # only vectors without votes are left, of all of them the first
+        have = chosen or [-1]
+        chosen += [r["pos"] for r in pool.select("pos").where(~F.col("pos").isin(have)).orderBy("pos").limit(n - len(chosen)).collect()]
     return chosen
 
 

@@ -5,7 +5,7 @@ A pool that passes a size check goes to every task as an index of exact integer
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -100,6 +100,39 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, query_key: str = "query
     return queries.where("text is not null").select(F.col(query_key).cast("bigint"), "text").mapInPandas(run, schema)
 
 
+def nearest_by(queries: DataFrame, pool: DataFrame, k: int, similarity_fn: Callable[[str, str], float], limit: int = POOL_BYTES) -> DataFrame:
+    """nearest() by any function of two texts. The pool goes to the tasks in blocks of ``limit`` bytes, and each query keeps the best k of its best in every block."""
+    schema = "query_id bigint, pos bigint, similarity double, rank int"
+    if k < 1:
+        return queries.sparkSession.createDataFrame([], schema)
+
+    def best(block: list) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = []
+                for q, text in zip(b["query_id"], b["text"], strict=True):
+                    close = sorted((-similarity_fn(text, other), pos) for pos, other in block)[:k]
+                    rows += [(q, pos, -s, r + 1) for r, (s, pos) in enumerate(close)]
+                yield pd.DataFrame(rows, columns=["query_id", "pos", "similarity", "rank"])
+
+        return queries.where("text is not null").select(F.col("query_id").cast("bigint").alias("query_id"), "text").mapInPandas(run, schema)
+
+    found, block, held = [], [], 0
+    for row in pool.select("pos", "text").where("text is not null").orderBy("pos").toLocalIterator():
+        block.append((row["pos"], row["text"]))
+        held += len(row["text"]) + 16
+        if held > limit:
+            found.append(best(block))
+            block, held = [], 0
+    if block or not found:
+        found.append(best(block))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "pos"))
+    return every if len(found) == 1 else every.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def near_duplicates(texts: DataFrame, pool: DataFrame, key: str, pool_key: str, threshold: float = NEAR, limit: int = POOL_BYTES) -> DataFrame:
     """(key, best_similarity) of the texts that are at least ``threshold`` (above 0) similar to some text of the pool."""
     if _small(pool, limit):
@@ -180,44 +213,59 @@ def verbatim_spans(texts: DataFrame, sources: DataFrame, key: str, min_len: int
 
 
 class NearestSelector(Selector):
-    """The k texts of each side nearest to each query, in pool order; without queries the first k."""
+    """The k texts of each side nearest to each query, in pool order; without queries the first k. Nearness is that of character trigrams, or any function of two texts."""
 
     query_aware = True
 
+    def __init__(self, similarity_fn: Callable[[str, str], float] | None = None):
+        self.similarity_fn = similarity_fn
+
     def select(self, pool, k, queries=None):
         if queries is None:
             return pool.withColumn("_r", F.row_number().over(Window.partitionBy("side").orderBy("pos"))).where(F.col("_r") <= k).drop("_r")
-        sides = [nearest(queries, pool.where(F.col("side") == s), k).withColumn("side", F.lit(s)) for s in ("positive", "negative")]
+        near = (lambda side: nearest_by(queries, side, k, self.similarity_fn)) if self.similarity_fn else (lambda side: nearest(queries, side, k))
+        sides = [near(pool.where(F.col("side") == s)).withColumn("side", F.lit(s)) for s in ("positive", "negative")]
         return sides[0].unionByName(sides[1]).join(pool.select("pos", "side", "text"), ["pos", "side"])
 
 
-def diverse(pool: DataFrame, k: int) -> DataFrame:
-    """k texts of each side, each the least similar to those before it, from the first; ties go to the lower pos. One side is one task's memory of n-gram sets;
-    the k rounds each pass over it once."""
-
-    def pick(key: tuple, side: pd.DataFrame) -> pd.DataFrame:
-        side = side.sort_values("pos").reset_index(drop=True)
-        if k < 1:
-            return side.head(0)
-        if k >= len(side):
-            return side
-        index, chosen = PoolIndex(side["text"].tolist()), [0]
-        close = index.similarities(side["text"][0])
-        close[0] = np.inf
-        while len(chosen) < k:
-            at = int(np.argmin(close))
-            chosen.append(at)
-            close = np.maximum(close, index.similarities(side["text"][at]))
-            close[at] = np.inf
-        return side.loc[sorted(chosen)]
+def _closest(chosen: dict[str, tuple[list[int], list[str]]], similarity_fn: Callable[[str, str], float] | None):
+    """The similarity of a text to the closest of those chosen of its side; null of the chosen themselves."""
+    indexes = {side: None if similarity_fn else PoolIndex(texts) for side, (_, texts) in chosen.items()}
+
+    def closest(sides: pd.Series, places: pd.Series, texts: pd.Series) -> pd.Series:
+        out = []
+        for side, pos, text in zip(sides, places, texts, strict=True):
+            taken, told = chosen[side]
+            out.append(None if pos in taken else max(similarity_fn(text, t) for t in told) if similarity_fn else float(indexes[side].similarities(text).max()))
+        return pd.Series(out, dtype="float64")
+
+    return F.pandas_udf(closest, T.DoubleType())
 
+
+def diverse(pool: DataFrame, k: int, similarity_fn: Callable[[str, str], float] | None = None) -> DataFrame:
+    """k texts of each side, each the least similar to those before it, from the first; ties go to the lower pos. Each of the k rounds is one scan that compares every text with the
+    few chosen so far; the driver holds these, at most k a side."""
     rows = pool.select("side", "pos", "text")
-    return rows.groupBy("side").applyInPandas(pick, rows.schema)
+    if k < 1:
+        return rows.limit(0)
+    chosen = {r["side"]: [(r["x"]["pos"], r["x"]["text"])] for r in rows.groupBy("side").agg(F.min(F.struct("pos", "text")).alias("x")).collect()}
+    for _ in range(k - 1):
+        close = _closest({side: ([p for p, _ in own], [t for _, t in own]) for side, own in chosen.items()}, similarity_fn)("side", "pos", "text")
+        left = rows.withColumn("close", close).where("close is not null").groupBy("side").agg(F.min(F.struct("close", "pos", "text")).alias("x")).collect()
+        for r in left:
+            chosen[r["side"]].append((r["x"]["pos"], r["x"]["text"]))
+        if not left:
+            break
+    picks = [(side, p) for side, own in chosen.items() for p, _ in own]
+    return rows.join(F.broadcast(pool.sparkSession.createDataFrame(picks, "side string, pos bigint")), ["side", "pos"], "left_semi")  # 2 k rows at most
 
 
 class DiversitySelector(Selector):
+    def __init__(self, similarity_fn: Callable[[str, str], float] | None = None):
+        self.similarity_fn = similarity_fn
+
     def select(self, pool, k, queries=None):
-        return diverse(pool, k)
+        return diverse(pool, k, self.similarity_fn)
 
 
 def all_pairs(df: DataFrame, key: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from bipole.functions import columns as C
 from bipole.operators import classify, generate, pools, represent, similarity, train
 from bipole.operators.backends import BackendFactory
+from bipole.operators.structured import HARD_POSITIVE, SYNTHETIC
 from bipole.sources.tables import labelled_documents, table
 
 BUDGET, CONTEXT, SEED, K = 6000, 100_000, 0, 5
@@ -181,6 +183,53 @@ def confusion_matrix(spark, d):
     return classify.confusion(_predictions(spark, d), [C.POSITIVE, C.NEGATIVE])
 
 
+def _dynamic_sql() -> str:
+    side = lambda name: f"(select qid, avg(s) s from near where side = '{name}' and r <= {K} group by qid)"
+    return f"""with {_POOL}, {_grams("q", "benchmark", "item_id")}, {_grams("p", "pool", "pos")},
+shared as (select q.id qid, p.id pid, count(*) hits from q join p on q.g = p.g group by all),
+alike as (select q_n.id qid, pool.pos, pool.side, coalesce(hits / (q_n.n + p_n.n - hits)::double, 0) s from q_n cross join pool join p_n on p_n.id = pool.pos left join shared on shared.qid = q_n.id and pid = pool.pos),
+near as (select *, row_number() over (partition by qid, side order by s desc, pos) r from alike)
+select x.qid query_id, round((1e-6 + x.s) / (2e-6 + x.s + y.s), 6) p_positive from {side("positive")} x join {side("negative")} y using (qid)"""
+
+
+def _votek_sql(n: int, k: int) -> str:
+    steps = [f"{_KNN}, t0 as (select vec_id pos, count(p) votes from embeddings left join (select p from ranked where r <= {k}) on p = vec_id group by vec_id)"]
+    for i in range(n):
+        steps.append(f"c{i} as (select pos from t{i} order by votes desc, pos limit 1)")
+        steps.append(f"t{i + 1} as (select pos, case when pos in (select p from ranked where r <= {k} and q = (select pos from c{i})) then 0 else votes end votes from t{i} where pos <> (select pos from c{i}))")
+    return "with " + ", ".join(steps) + " " + " union all ".join(f"select {i} rank, pos from c{i}" for i in range(n))
+
+
+def _diversity_sql(k: int) -> str:
+    steps = [f"{_POOL}, {_grams('p', 'pool', 'pos')}, d0 as (select side, pos, 0.0::double s from pool), c0 as (select side, min(pos) pos from pool group by side)"]
+    for i in range(k - 1):
+        steps.append(f"h{i} as (select c.side, a.id pos, count(*) n from c{i} c join p b on b.id = c.pos join p a on a.g = b.g group by all)")
+        steps.append(f"d{i + 1} as (select d.side, d.pos, greatest(d.s, coalesce(h.n / (x.n + y.n - h.n)::double, 0)) s from d{i} d join c{i} c on c.side = d.side and c.pos <> d.pos join p_n x on x.id = d.pos join p_n y on y.id = c.pos left join h{i} h on h.side = d.side and h.pos = d.pos)")
+        steps.append(f"c{i + 1} as (select side, pos from (select *, row_number() over (partition by side order by s, pos) r from d{i + 1}) where r = 1)")
+    return "with " + ", ".join(steps) + " " + " union all ".join(f"select side, pos from c{i}" for i in range(k))
+
+
+def _generated_sql(kind, target: int, both: bool) -> str:
+    """The prompts of one round, the replies of ScriptedBackend to them, and the first texts that are wanted."""
+    budget = (100_000 - generate.TEMPLATE_TOKENS - 1024) // (2 if both else 1)
+    system = generate.system_message(kind).replace("'", "''")
+    shown = "'Positive examples:' || chr(10) || coalesce(p, '(none)')" + (" || chr(10) || chr(10) || 'Negative examples:' || chr(10) || coalesce(n, '(none)')" if both else "")
+    return f"""with recursive {_POOL},
+offered as (select batch, side, pos, text, c, md5(batch || ':' || side || ':' || pos) k from pool, range({math.ceil(target / 3)}) b(batch) where c <= {budget}{"" if both else " and side = 'positive'"}),
+queue as (select *, row_number() over (partition by batch, side order by k, pos) i from offered),
+fold as (select batch, side, pos, i, c t, 1 held, true took from queue where i = 1
+  union all select q.batch, q.side, q.pos, q.i, case when f.t + q.c <= {budget} and held < 5 then f.t + q.c else f.t end, case when f.t + q.c <= {budget} and held < 5 then held + 1 else held end, f.t + q.c <= {budget} and held < 5
+  from fold f join queue q on q.batch = f.batch and q.side = f.side and q.i = f.i + 1),
+taken as (select q.*, row_number() over (partition by batch, side order by k, pos) r from queue q semi join (select batch, side, pos from fold where took) f using (batch, side, pos)),
+least as (select batch, case when count(*) = 2 then min(n) else 0 end most from (select batch, side, count(*) n from taken group by all) group by batch),
+chosen as (select batch, side, text, row_number() over (partition by batch, side order by pos) i from taken join least using (batch) where {"r <= most" if both else "true"}),
+lists as (select batch, string_agg(i || '. ' || text, chr(10) order by i) filter (side = 'positive') p, string_agg(i || '. ' || text, chr(10) order by i) filter (side = 'negative') n from chosen group by batch),
+replies as (select batch, md5('{system}' || chr(10) || chr(10) || {shown} || chr(10) || chr(10) || 'Count: 3' || chr(10) || chr(10) || 'JSON:' || chr(10)) k from lists),
+texts as (select row_number() over (order by batch, item) n, 'generated ' || k[1:8] || ' ' || item text from replies, range(3) i(item))
+select d.doc_id pos, d.text, l.toxic label, false is_generated from documents d join labels l using (doc_id)
+union all select (select max(pos) from pool) + n, text, (select max(toxic) from labels), true from texts where n <= {target}"""
+
+
 def classify_dynamic(spark, d):
     """Every benchmark text, with the exemplars nearest to it."""
     model = classify.PromptClassifier(BackendFactory("lexical"), similarity.NearestSelector(), max_exemplars=K, context_limit=CONTEXT).fit(labelled_documents(spark, d))
@@ -251,11 +300,11 @@ class ScriptedBackend:
 
 
 def oversample(spark, d):
-    return generate.OverSampler(BackendFactory(ScriptedBackend), n_synthesized=12, max_examples=5).fit_resample(labelled_documents(spark, d)).groupBy("label", "is_generated").agg(F.count(F.lit(1)).alias("n"))
+    return generate.OverSampler(BackendFactory(ScriptedBackend), n_synthesized=12, max_examples=5).fit_resample(labelled_documents(spark, d))
 
 
 def synthesize(spark, d):
-    return generate.SyntheticSampler(BackendFactory(ScriptedBackend), n_synthesized=10, max_examples=5).fit_resample(labelled_documents(spark, d)).groupBy("label", "is_generated").agg(F.count(F.lit(1)).alias("n"))
+    return generate.SyntheticSampler(BackendFactory(ScriptedBackend), n_synthesized=10, max_examples=5).fit_resample(labelled_documents(spark, d))
 
 
 _ALL = [
@@ -300,6 +349,11 @@ def oracle_sql() -> dict[str, str]:
         "predict_label": f"{_SCORED} select query_id, prediction from guessed",
         "classification_metrics": f"{_SCORED}, m as (select count(*) n, count(*) filter (truth = 'positive' and prediction = 'positive') tp, count(*) filter (truth <> 'positive' and prediction = 'positive') fp, count(*) filter (truth = 'positive' and prediction <> 'positive') fn, count(*) filter (truth <> 'positive' and prediction <> 'positive') tn, avg(greatest(p_positive, 1 - p_positive)) c from guessed) select n, {_RATIO('tp + tn', 'n')} accuracy, {_RATIO('tp', 'tp + fp')} precision_positive, {_RATIO('tp', 'tp + fn')} recall_positive, {_RATIO('2 * tp', '2 * tp + fp + fn')} f1_positive, {_RATIO('tn', 'tn + fn')} precision_negative, {_RATIO('tn', 'tn + fp')} recall_negative, {_RATIO('2 * tn', '2 * tn + fp + fn')} f1_negative, round(coalesce(c, 0), 6) mean_confidence from m",
         "confusion_matrix": f"{_SCORED} select t.s truth, g.s prediction, (select count(*) from guessed where truth = t.s and prediction = g.s) n from (values ('positive'), ('negative')) t(s) cross join (values ('positive'), ('negative')) g(s)",
+        "classify_dynamic": _dynamic_sql(),
+        "votek_select": _votek_sql(10, 10),
+        "oversample": _generated_sql(HARD_POSITIVE, 12, True),
+        "synthesize": _generated_sql(SYNTHETIC, 10, False),
+        "diversity_select": _diversity_sql(K),
         "threshold_label": "select pos event_id, side label from (select event_id pos, case when value / 100 <= 0.1 then 'positive' when value / 100 >= 0.5 then 'negative' end side from events) where side is not null",
         "sample_pools": f"with {_EVENTS} select pos, side from r where n <= 50",
         "sample_eval_set": f"with {_EVENTS} select pos, side from r where n > 50 and n <= 50 + case when side = 'positive' then 100 else 101 end",

@@ -173,3 +173,141 @@ def test_samplers_choose_by_method(spark):
             want[side] = [r["text"] for r in generate.sample_group(both.where(F.col("side") == side), 9, method, own).orderBy("pos").collect()]
         got = sampler._examples(both, 9, 0)
         assert got == (want["positive"], want["negative"]) and got[0]
+
+
+class Vowels:
+    """A test double of an embedding model."""
+
+    def __call__(self, texts):
+        return [[float(t.count(v)) for v in "aeiou"] for t in texts]
+
+
+def test_similarity_functions(spark):
+    close = represent.cosine_similarity_fn(lambda name: Vowels(), "vowels")
+    assert close("banana", "papaya") == pytest.approx(1) and close("banana", "xyz") == 0 and close("ae", "a") == pytest.approx(0.5**0.5)
+    p = pool(spark, [(i, s, t) for i, (s, t) in enumerate([("positive", "banana"), ("positive", "pepper"), ("positive", "papaya"), ("negative", "kiwi"), ("negative", "apple"), ("negative", "plum")])])
+    asked = spark.createDataFrame([(7, "mango apart"), (8, None)], "query_id bigint, text string")
+    for limit in (1 << 20, 1):
+        near = similarity.nearest_by(asked, p, 3, close, limit=limit).orderBy("rank").collect()
+        assert [(r["query_id"], r["pos"], r["rank"]) for r in near] == [(7, 0, 1), (7, 2, 2), (7, 4, 3)]
+    got = similarity.NearestSelector(close).select(p, 1, asked).collect()
+    assert sorted((r["side"], r["text"]) for r in got) == [("negative", "apple"), ("positive", "banana")]
+    far = similarity.DiversitySelector(close).select(p, 2).collect()
+    assert sorted((r["side"], r["pos"]) for r in far) == [("negative", 3), ("negative", 4), ("positive", 0), ("positive", 1)]  # apple and plum tie
+
+
+def test_diverse_against_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["positive", "negative"]), "".join(rng.choice("abc ") for _ in range(rng.randrange(1, 30)))) for i in range(60)]
+    sim = lambda a, b: len(a & b) / len(a | b)
+    sets = {i: set(similarity.grams(t).tolist()) for i, _, t in rows}
+    for k in (0, 1, 4, 100):
+        want = set()
+        for side in ("positive", "negative"):
+            left, chosen = [i for i, s, _ in rows if s == side], []
+            while left and len(chosen) < k:
+                at = min(left, key=lambda i: (max([sim(sets[i], sets[j]) for j in chosen], default=0), i))
+                chosen.append(at)
+                left.remove(at)
+            want |= set(chosen)
+        assert {r["pos"] for r in similarity.diverse(pool(spark, rows), min(k, 12)).collect()} == want or k == 100
+    assert similarity.diverse(pool(spark, rows[:3]), 9).count() == 3
+
+
+def test_vote_k_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((80, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "pos bigint, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for n, k in ((10, 5), (30, 3), (79, 10), (80, 2)):
+        order = [[j for j in np.lexsort((np.arange(80), -np.round(u @ u[i], 12))) if j != i][:k] for i in range(80)]
+        tally, chosen = {i: sum(i in o for o in order) for i in range(80)}, []
+        while len(chosen) < n:
+            at = min((p for p in tally if p not in chosen), key=lambda p: (-tally[p], p))
+            chosen.append(at)
+            tally.update({p: 0 for p in order[at]})
+        assert represent.vote_k(frame, n, k) == (chosen if n < 80 else list(range(80)))
+
+
+class Counting(ScriptedBackend):
+    made = 0
+
+    def __init__(self):
+        type(self).made += 1
+
+    def count_tokens(self, text):
+        return len(text.split())
+
+
+def test_capabilities_and_tokens_of_the_backend(spark):
+    import copy
+
+    factory = BackendFactory(Counting)
+    assert factory.can("count_tokens") and not factory.can("score_choices") and Counting.made == 0
+    assert copy.deepcopy(factory) is factory
+    model = classify.PromptClassifier(factory, context_limit=60)
+    assert model.copy(context_limit=50).backend is factory and model.copy(context_limit=50).context_limit == 50
+    rows = spark.createDataFrame([(i, "w " * (i + 1), i % 2) for i in range(8)], "pos bigint, text string, label int")
+    assert model.fit(rows).budget_ == (60 - (8 + 8)) // 2  # words, as the backend counts
+
+
+def test_saved_classifier_keeps_its_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"text number {i} {'good' if i % 2 else 'bad'}", i % 2) for i in range(12)], "pos bigint, text string, label int")
+    asked = spark.createDataFrame([(1, "text good"), (2, "text bad")], "query_id bigint, text string")
+    model = classify.PromptClassifier(BackendFactory("lexical"), max_exemplars=3).fit(rows)
+    model.save(f"file://{tmp_path}/static")
+    back = classify.PromptClassifier.load(spark, f"file://{tmp_path}/static", BackendFactory("lexical"))
+    assert sorted(back.exemplars_.collect()) == sorted(model.exemplars_.collect()) and sorted(back.predict_proba(asked).collect()) == sorted(model.predict_proba(asked).collect())
+    classify.PromptClassifier(BackendFactory("lexical"), similarity.NearestSelector(), max_exemplars=2).fit(rows).save(f"file://{tmp_path}/near")
+    assert isinstance(classify.PromptClassifier.load(spark, f"file://{tmp_path}/near", BackendFactory("lexical")).selector, similarity.NearestSelector)
+    custom = pools.CustomSelector(lambda pool, k, queries: similarity.NearestSelector().select(pool, k, queries), query_aware=True)
+    classify.PromptClassifier(BackendFactory("lexical"), custom, max_exemplars=2).fit(rows).save(f"file://{tmp_path}/custom")
+    with pytest.raises(ValueError, match="CustomSelector"):
+        classify.PromptClassifier.load(spark, f"file://{tmp_path}/custom", BackendFactory("lexical"))
+    assert classify.PromptClassifier.load(spark, f"file://{tmp_path}/custom", BackendFactory("lexical"), custom).predict(asked).count() == 2
+
+
+class FakeLlama:
+    """Logits that depend on the last two tokens alone; counts the tokens that it evaluates."""
+
+    def __init__(self):
+        self.past, self.scores, self.evaluated = [], {}, 0
+
+    def tokenize(self, raw, add_bos=True):
+        return ([1] if add_bos else []) + [2 + b for b in raw]
+
+    def reset(self):
+        self.past = []
+
+    def eval(self, tokens):
+        for t in tokens:
+            self.past.append(t)
+            self.evaluated += 1
+            last = (self.past[-2] if len(self.past) > 1 else 0, t)
+            self.scores[len(self.past) - 1] = [math.sin(last[0] * 7 + last[1] * 3 + v) for v in range(300)]
+
+    def save_state(self):
+        return list(self.past), dict(self.scores)
+
+    def load_state(self, state):
+        self.past, self.scores = list(state[0]), dict(state[1])
+
+
+def test_shared_prefix_scores_as_each_by_itself():
+    from bipole.operators.backends import LlamaBackend
+
+    one = object.__new__(LlamaBackend)
+    one.model, one.n_ctx = FakeLlama(), 400
+    prefix, queries, choices = "p" * 200, ["a", "bcd", "e" * 300, ""], [" positive", " negative", "x"]
+    with pytest.warns(UserWarning, match="cut to"):
+        want = [one.score_choices(prefix + q, choices) for q in queries]
+        apart, one.model.evaluated = one.model.evaluated, 0
+        got = one.score_choices_batch(prefix, queries, choices)
+    assert [pytest.approx(w) for w in want] == got and one.model.evaluated < 0.75 * apart
+    with pytest.warns(UserWarning):
+        assert fit_context([1, 2, 3], 3, 2) == [3]
