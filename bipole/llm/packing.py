@@ -2,12 +2,14 @@
 
 Every input partition packs its own pieces best-fit decreasing and emits the bins that are nearly full. The underfull ones go up a tree as items:
 groups of ``fan_in`` neighbouring nodes are merged, their bins packed best-fit again, nearly full ones emitted, until one node is left, which emits all.
-Of the bins of a best-fit round at most one is up to half full, and two that are fuller never fit into one. So what can still be put together is that one and, to take such ones
-of other nodes, the roomiest others: a node sends up at most UP bins, and the rest are done. Each round is a written table, so that a lost executor repeats no round.
+Of the bins of a best-fit round at most one is up to half full, and two that are fuller never fit into one. So every round further up puts at most ``fan_in`` such bins into others, each into one: of the
+bins of a node that are equally full no more than that a round can ever take anything, and only those beyond go no further. The tree packs as if all went up, while what a node holds is
+bounded by the capacity and not by the table. Each round is a written table, so that a lost executor repeats no round.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from bipole.llm.common import Scratch
 
 CAPACITY, CHARS = 2048, 4
-FAN_IN, SLACK, UP = 8, 0.02, 256
+FAN_IN, SLACK = 8, 0.02
 _ROW = "node bigint, bin_id string, used int, full boolean, doc_ids array<bigint>, pieces array<int>, sizes array<int>"
 _ARROW = pa.schema([("node", pa.int64()), ("bin_id", pa.string()), ("used", pa.int32()), ("full", pa.bool_()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32()))])
 
@@ -57,30 +59,39 @@ def best_fit(sizes: list[int], capacity: int) -> list[tuple[int, list[int]]]:
     return list(bins.closed())
 
 
-def _done(bins: list[tuple[int, list[int]]], near: int, up: int) -> list[bool]:
-    """Which bins are done: nearly full, or not among the ``up`` roomiest."""
+def _done(bins: list[tuple[int, list[int]]], near: int, up: int | None, alike: int) -> list[bool]:
+    """Which bins are done: nearly full, or beyond ``alike`` others that are as full and could take the same; with ``up`` also those that aren't among so many roomiest."""
     roomy = sorted((i for i, (used, _) in enumerate(bins) if used < near), key=lambda i: bins[i][0])
-    done = [True] * len(bins)
+    done, seen = [True] * len(bins), Counter()
     for i in roomy[:up]:
-        done[i] = False
+        seen[bins[i][0]] += 1
+        done[i] = seen[bins[i][0]] > alike
     return done
 
 
+def _rounds(nodes: int, fan_in: int) -> int:
+    """How many rounds merge so many nodes into one."""
+    rounds = 0
+    while nodes > 1:
+        nodes, rounds = -(-nodes // fan_in), rounds + 1
+    return rounds
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(_ARROW)], schema=_ARROW)
 
 
-def pack(docs: DataFrame, *, capacity: int = CAPACITY, chars_per_token: int = CHARS, fan_in: int = FAN_IN, slack: float = SLACK, up: int = UP, size: F.Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, *, capacity: int = CAPACITY, chars_per_token: int = CHARS, fan_in: int = FAN_IN, slack: float = SLACK, up: int | None = None, size: F.Column | None = None) -> DataFrame:
     """Rows (bin_id, position, doc_id, piece, token_start, n_tokens): where each piece of each document goes, and which of its tokens it holds.
 
     A document's tokens are ``size`` (an integer column, such as a tokenizer's count), by default length // chars_per_token + 1, token t being its characters from
     t * chars_per_token; documents of more than ``capacity`` tokens are cut into full pieces and a rest. No bin is over capacity. Null and empty texts and sizes under 1 have no piece; texts of any length are cut, never shortened. Pieces of
-    equal size keep the input's order. ``up`` bounds how many bins a node sends up, so that no node grows with the table. Repeated rows are packed each, a null id is packed as null, an empty table gives no rows, further columns aren't read.
+    equal size keep the input's order. All bins that a later round can still use go up; ``up`` bounds how many of them a node sends, for a smaller tree whose bins may be less full. Repeated rows are packed each, a null id is packed as null, an empty table gives no rows, further columns aren't read.
     """
     keep = Scratch(docs.sparkSession)
     n = F.length("text")
     items = docs.where(n > 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(size, F.lit(0)).cast("int").alias("size") if size is not None else (F.floor(n / chars_per_token) + 1).cast("int").alias("size"), F.spark_partition_id().cast("bigint").alias("node"))
-    near = capacity - int(capacity * slack)
+    near, alike = capacity - int(capacity * slack), fan_in * _rounds(2**31, fan_in)  # of as many rounds as partitions can need
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, pieces, sizes, rows, node, bins = [], [], [], [], 0, 0
@@ -99,18 +110,18 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, chars_per_token: int = CH
                     pieces.append(full)
                     sizes.append(rest)
         packed = best_fit(sizes, capacity)
-        for (used, held), done in zip(packed, _done(packed, near, up), strict=True):
+        for (used, held), done in zip(packed, _done(packed, near, up, alike), strict=True):
             rows.append((node, f"0.{node}.{bins}", used, done, [ids[i] for i in held], [pieces[i] for i in held], [sizes[i] for i in held]))
             bins += 1
         for at in range(0, len(rows), 5000):
             yield _batch(rows[at : at + 5000])
 
-    def merge(level: int):
+    def merge(level: int, alike: int):
         def each(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
             bins = bins.sort_values("bin_id").reset_index(drop=True)
             rows = []
             packed = best_fit(bins["used"].tolist(), capacity)
-            for n, ((used, held), done) in enumerate(zip(packed, _done(packed, near, up), strict=True)):
+            for n, ((used, held), done) in enumerate(zip(packed, _done(packed, near, up, alike), strict=True)):
                 rows.append((key[0], f"{level}.{key[0]}.{n}", used, done, *([x for i in held for x in bins[c][i]] for c in ("doc_ids", "pieces", "sizes"))))
             return pd.DataFrame(rows, columns=_ARROW.names)
 
@@ -124,7 +135,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, chars_per_token: int = CH
             break
         level += 1
         risen = done[-1].where("not full").withColumn("node", F.floor(F.col("node") / fan_in).cast("bigint"))
-        done.append(keep.write(risen.groupBy("node").applyInPandas(merge(level), _ROW)))
+        done.append(keep.write(risen.groupBy("node").applyInPandas(merge(level, fan_in * _rounds(top // fan_in + 1, fan_in)), _ROW)))
     out = [d.where("full") for d in done[:-1]] + [done[-1]]
     bins = out[0]
     for d in out[1:]:

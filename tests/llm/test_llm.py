@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bipole.llm import decontaminate, jaccard, language, packing, pii, secrets, sharding, substrings, vectors, warc
@@ -269,6 +270,30 @@ def test_packing_sends_few_bins_up(spark):
     assert len(bins) == 20000 and sum(not b["bin_id"].startswith("0.") for b in bins) <= 6 * 50
 
 
+def test_packing_fills_as_if_all_bins_went_up(spark):
+    """One node has bins of many sizes, the others a few small pieces that fit exactly into some of the fuller ones."""
+    rng = random.Random(61)
+    sizes = [rng.choice([50, 51]) for _ in range(900)] + [rng.randrange(60, 98) for _ in range(900)]
+    parts = [sizes] + [[100 - rng.randrange(60, 98)] for _ in range(8)]
+    rows = [(p, 10000 * p + i, n) for p, part in enumerate(parts) for i, n in enumerate(part)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([[r for r in rows if r[0] == p] for p in range(9)], 9).flatMap(lambda x: x), "p int, doc_id bigint, n int").selectExpr("doc_id", "'x' text", "n")
+    level = {p: part for p, part in enumerate(parts)}
+    while True:
+        level = {k: [n for n, _ in naive_best_fit(part, 100)] for k, part in level.items()}
+        if len(level) == 1:
+            break
+        level = {k: [n for c in level if c // 3 == k for n in level[c]] for k in {c // 3 for c in level}}
+    used = defaultdict(int)
+    for r in packing.pack(docs, capacity=100, fan_in=3, size=F.col("n")).collect():
+        used[r["bin_id"]] += r["n_tokens"]
+    assert sorted(used.values()) == sorted(level[0])
+
+
+def test_packing_node_is_bounded_by_the_capacity():
+    bins = [(60, [i]) for i in range(10_000)] + [(90, [i]) for i in range(10_000)]
+    assert packing._done(bins, 98, None, 24).count(False) == 48
+
+
 def brute_shards(rows, target):
     """rows of (key, point, weight): the leaf paths by recursion over lists."""
     extent = [max(1, max(p[i] for _, p, _ in rows) - min(p[i] for _, p, _ in rows)) for i in range(4)]
