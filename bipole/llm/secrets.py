@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,17 +29,20 @@ _GAP = re.compile(r"[ \t]*(?:\\\r?\n[ \t]*)?\(?[ \t]*")
 _QUOTED = re.compile(r"""(?:[rbuf]{1,2})?(\"\"\"|'''|"|'|`)""", re.I)
 _BARE = re.compile(r"(?:\$\{[^}\n]*+\}|[^\s\"'`,;(){}\[\]<>#|&*]){1,16384}")
 _REST = re.compile(_BARE.pattern.replace("{1,16384}", "*+"))
+_BRACED = re.compile(r"\$\{[^}\n]*+\}")
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.|&|\.)?[ \t]*(?:\\?\r?\n[ \t]*)?")
 _REF = re.compile(r"\$\{([A-Za-z_]\w*)(?:(?::-|:)([^}]*))?\}|\$\(?([A-Za-z_]\w*)\)?|\{([A-Za-z_]\w*)\}|%\(([A-Za-z_]\w*)\)s")
-_IDENT = re.compile(r"[A-Za-z_][\w.]*$")
+_IDENT_HEAD = re.compile(r"[A-Za-z_][\w.]*")
 _OTHER = re.compile(r"[A-Za-z_.]*")
 _CALL = re.compile(r"(?:os\.)?(?:getenv|environ\.get|env|ENV\.fetch|config|System\.getProperty|getProperty|get)\(\s*[\"'][^\"'\n]*+[\"']\s*,\s*")
 _BLOCK = re.compile(r"[ \t]*[|>][+-]?\d?[+-]?[ \t]*(?:#[^\n]*+)?\r?\n")
 _TAG = re.compile(r"<([A-Za-z_][\w.\-:]*+)((?:\s[^<>]*+)?)>(?:([^<>]*+)</\1\s*>)?")
 _ATTRIBUTE = re.compile(r"""([A-Za-z_][\w.\-:]*+)\s*+=\s*+(?:"([^"<>]*+)"|'([^'<>]*+)')""")
-#: A value that joining constants makes longer than this stops growing, since repeated doubling would fill memory; single literals have no limit, and
-#: of longer ones that are put into others this much is taken to score them. Unquoted values are scored by the part that _BARE takes; their place is whole.
-_JOINED = 4096
+_DASHED = re.compile(r"[A-Za-z_][\w.\-]*")
+_DOTLESS = re.compile(r"[\w\-]*")
+_WORD = re.compile(r"[^\W_]+")
+#: Values that joining makes longer than this are held as a Summary, since repeated doubling would fill memory; so are the ends of unquoted values that begin at many signs.
+_HELD, _STEP = 4096, 512
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _WORDS = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "bearer": 0.8, "auth": 0.6, "authorization": 0.8, "signature": 0.5, "salt": 0.5, "pass": 0.8, "pat": 0.6, "jwt": 0.9, "dsn": 0.6, "cookie": 0.5, "passwort": 1.0, "contrasena": 1.0, "privatekey": 1.0, "secretkey": 1.0, "accesskey": 1.0, "clientsecret": 1.0, "connectionstring": 0.8}
 _PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("secret", "key"): 1.0, ("encryption", "key"): 1.0, ("signing", "key"): 1.0, ("account", "key"): 0.9, ("auth", "key"): 0.9, ("master", "key"): 0.9, ("session", "id"): 0.5, ("session", "key"): 0.9, ("connection", "string"): 0.8, ("license", "key"): 0.6, ("ssh", "key"): 0.9, ("aws", "key"): 0.9}
@@ -55,16 +60,86 @@ def _words_of_filler(word: str) -> bool:
     return ends[-1]
 
 
-def placeholder(literal: str) -> bool:
+def _plain(word: str) -> bool:
+    return word.isascii() and word.isalpha() and (word.islower() or word.isupper() or word.istitle())
+
+
+class Summary:
+    """What a score asks of a string, without the string. Summaries add up like the strings: the words that a cut may have parted are kept as ``left`` and
+    ``right`` (41 characters of them, since longer words are all alike to placeholder()), those between as ``words``: (number, first, all plain, all filler, all short)."""
+
+    def __init__(self, n: int, counts: Counter, head: str, tail: str, blanks: tuple[bool, bool, bool, bool], left: str, words: tuple | None, right: str):
+        self.n, self.counts, self.head, self.tail, self.blanks, self.left, self.words, self.right = n, counts, head, tail, blanks, left, words, right
+
+    @staticmethod
+    @lru_cache(64)
+    def of(text: str) -> Summary:
+        core = text.strip()
+        at = text.index(core)
+        blanks = (bool(core), " " in text[:at], " " in core, " " in text[at + len(core) :]) if core else (False, " " in text, False, " " in text)
+        runs = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+        if runs == [(0, len(text))] or not text:
+            left, words, right = text[:41], None, ""
+        else:
+            left = text[: min(runs[0][1], 41)] if runs and runs[0][0] == 0 else ""
+            right = text[runs[-1][0] : runs[-1][0] + 41] if runs and runs[-1][1] == len(text) else ""
+            words = _Words.none
+            for a, b in runs[bool(left) : len(runs) - bool(right)]:
+                words = _Words.add(words, _Words.of(text[a : min(b, a + 41)]))
+        return Summary(len(text), Counter(text), text[:64], text[-2:], blanks, left, words, right)
+
+    def __add__(self, other: Summary) -> Summary:
+        (full, lead, inner, trail), (full2, lead2, inner2, trail2) = self.blanks, other.blanks
+        blanks = (full or full2, lead or not full and lead2, full and full2 and (inner or trail or lead2 or inner2) or full and not full2 and inner or full2 and not full and inner2, trail2 or not full2 and trail)
+        if self.words is None and other.words is None:
+            left, words, right = (self.left + other.left)[:41], None, ""
+        elif self.words is None:
+            left, words, right = (self.left + other.left)[:41], other.words, other.right
+        elif other.words is None:
+            left, words, right = self.left, self.words, (self.right + other.left)[:41]
+        else:
+            left, words, right = self.left, _Words.add(_Words.add(self.words, _Words.of((self.right + other.left)[:41])), other.words), other.right
+        return Summary(self.n + other.n, self.counts + other.counts, (self.head + other.head)[:64], (self.tail + other.tail)[-2:], blanks, left, words, right)
+
+
+class _Words:
+    """Facts on words: (number, first, all plain, all filler, all short)."""
+
+    none = (0, "", True, True, True)
+
+    @staticmethod
+    def of(word: str) -> tuple:
+        return (1, word.lower(), _plain(word), len(word) <= 40 and _words_of_filler(word.lower()), len(word) <= 12) if word else _Words.none
+
+    @staticmethod
+    def add(a: tuple, b: tuple) -> tuple:
+        return (a[0] + b[0], a[1] or b[1], a[2] and b[2], a[3] and b[3], a[4] and b[4])
+
+
+def joined(*parts: str | Summary) -> str | Summary:
+    """The parts one after the other, as a string while that is short."""
+    if len(parts) == 1 or all(isinstance(p, str) for p in parts) and sum(map(len, parts)) <= _HELD:
+        return parts[0] if len(parts) == 1 else "".join(parts)
+    whole = None
+    for p in parts:
+        if p != "":
+            one = Summary.of(p) if isinstance(p, str) else p
+            whole = one if whole is None else whole + one
+    return whole if whole is not None else ""
+
+
+def placeholder(literal: str | Summary) -> bool:
     """A reference to somewhere else, or whole words that only stand for a value: all filler, or several plain words of which the first says so. Anything with digits among letters
     or with mixed case in a word counts as a value."""
-    if _REFERENCE.match(literal):
+    s = literal
+    if isinstance(literal, str):
+        if _REFERENCE.match(literal):
+            return True
+        s = Summary.of(literal)
+    elif _REFERENCE.match(s.head + "\0") or s.head[:1] == "<" and s.counts[">"] == 1 and s.tail.removesuffix("\n")[-1:] == ">":
         return True
-    words = re.findall(r"[^\W_]+", literal)
-    if not words or not all(w.isascii() and w.isalpha() and (w.islower() or w.isupper() or w.istitle()) for w in words):
-        return False
-    low = [w.lower() for w in words]
-    return all(len(w) <= 40 and _words_of_filler(w) for w in low) or (len(low) > 1 and low[0] in _LEAD and max(map(len, low)) <= 12)
+    number, first, plain, filler, short = _Words.add(_Words.add(_Words.of(s.left), s.words or _Words.none), _Words.of(s.right))
+    return number > 0 and plain and (filler or number > 1 and first in _LEAD and short)
 
 
 def sensitivity(name: str) -> float:
@@ -74,24 +149,71 @@ def sensitivity(name: str) -> float:
     return best * (0.35 if parts and (parts[-1] in _HARMLESS or parts[0] in ("public", "is", "has")) else 1)
 
 
-def randomness(literal: str) -> float:
+def randomness(literal: str | Summary) -> float:
     """0 to 1 from length, character entropy and the mix of character classes."""
-    n = len(literal)
+    if isinstance(literal, str):
+        n, counts, spaced = len(literal), Counter(literal), " " in literal.strip()
+    else:
+        n, counts, spaced = literal.n, literal.counts, literal.blanks[2]
     if not n:
         return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    kinds = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", r"\d", r"[^\w\s]"))
-    return min(1.0, 0.45 * min(n, 24) / 24 + 0.45 * min(entropy, 4.0) / 4.0 + 0.1 * (kinds >= 2)) * (0.5 if " " in literal.strip() else 1)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    kinds = sum(any(re.match(p, c) for c in counts) for p in ("[a-z]", "[A-Z]", r"\d", r"[^\w\s]"))
+    return min(1.0, 0.45 * min(n, 24) / 24 + 0.45 * min(entropy, 4.0) / 4.0 + 0.1 * (kinds >= 2)) * (0.5 if spaced else 1)
 
 
-def score(name: str, literal: str) -> float:
+def score(name: str, literal: str | Summary) -> float:
     """0 to 1; nothing for names that aren't sensitive, literals of under 6 characters, placeholders and pure references."""
     sensitive = sensitivity(name)
-    if not sensitive or len(literal) < 6 or placeholder(literal) or len(set(literal)) < 4:
+    if not sensitive or (isinstance(literal, str) and len(literal) < 6) or placeholder(literal) or len(set(literal) if isinstance(literal, str) else literal.counts) < 4:
         return 0.0
     return round(sensitive * (0.35 + 0.65 * randomness(literal)), 6)
 
 
+class _Runs:
+    """Unquoted values of any length, each read once for all signs in it."""
+
+    def __init__(self, text: str):
+        self.text, self.slots = text, [None, None]  # a run, and one inside the braces of a reference in it
+
+    def _run(self, at: int) -> tuple:
+        """(start, end, references, summaries of its ends by place) of a run that ``at`` is a beginning in."""
+        for k, slot in enumerate(self.slots):
+            if slot is None or not slot[0] <= at < slot[1]:
+                break
+            i = bisect_right(slot[2], (at, -1)) - 1
+            if i < 0 or not slot[2][i][0] < at < slot[2][i][1]:
+                return slot
+        end = _REST.match(self.text, at).end()
+        found = at, end, [m.span() for m in _BRACED.finditer(self.text, at, end)], {}
+        self.slots[min(k, 1) :] = [found] + [None] * (1 - min(k, 1))
+        return found
+
+    def inside(self, at: int) -> bool:
+        """Whether ``at`` is in a run that was read, with more than _STEP to go."""
+        return self.slots[0] is not None and self.slots[0][0] <= at < self.slots[0][1] - _STEP
+
+    def end(self, at: int) -> int:
+        return self._run(at)[1]
+
+    def dollar(self, at: int) -> bool:
+        """Whether the value from ``at`` on holds a reference."""
+        *_, held = run = self._run(at)
+        if "$" not in held:
+            held["$"] = self.text.rfind("$", *run[:2])
+        return held["$"] >= at
+
+    def summary(self, at: int) -> Summary:
+        start, end, _, held = self._run(at)
+        first = -(-start // _STEP) * _STEP
+        if end not in held:
+            held[end] = Summary.of("")
+            for cut in range((end - 1) // _STEP * _STEP, first - 1, -_STEP):
+                held[cut] = Summary.of(self.text[cut : min(end, cut + _STEP)]) + held[min(end, cut + _STEP)]
+        cut = min(end, -(-at // _STEP) * _STEP)
+        return Summary.of(self.text[at:cut]) + held[cut]
+
+
 def _literal(text: str, at: int) -> tuple[str, int, int] | None:
     """(content, start, end) of the quoted literal at ``at``; it must close, on the same line unless it is triple-quoted."""
     m = _QUOTED.match(text, at)
@@ -148,37 +270,38 @@ def _markup(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
             yield name, body, start, start + len(body), False
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
+def pairs(text: str) -> Iterator[tuple[str, str | Summary, int, int, bool]]:
     """(name, literal, start, end, propagated) of every name that a literal is assigned to, in order of the assignments; start and end are the
-    literal's place in the text, the first part's where several are joined."""
-    known: dict[str, tuple[str, int, int]] = {}
-
-    def resolve(value: str) -> tuple[str, bool]:
-        used = False
-
-        def put(m: re.Match) -> str:
-            nonlocal used
+    literal's place in the text, the first part's where several are joined. A literal that joining makes long is given as its Summary."""
+    known: dict[str, tuple[str | Summary, int, int]] = {}
+
+    def resolve(value: str) -> tuple[str | Summary, bool]:
+        if not ("$" in value or "{" in value or "%(" in value):
+            return value, False
+        parts, at, used = [], 0, False
+        for m in _REF.finditer(value):
             name = next(g for g in (m[1], m[3], m[4], m[5]) if g)
-            if name in known:
-                used = True
-                return known[name][0][:_JOINED]
-            return m[2] if m[2] else m[0]
+            used = used or name in known
+            parts += [value[at : m.start()], known[name][0] if name in known else m[2] or m[0]]
+            at = m.end()
+        return joined(*parts, value[at:]), used
 
-        return (_REF.sub(put, value), used) if "$" in value or "{" in value or "%(" in value else (value, used)
-
-    def pure(value: str) -> tuple[str, int, int] | None:
+    def pure(start: int, end: int) -> tuple[str | Summary, int, int] | None:
         """The constant that is all of the value, with its own place."""
-        m = _REF.fullmatch(value)
+        m = _REF.fullmatch(text, start, end)
         return known.get(next(g for g in (m[1], m[3], m[4], m[5]) if g)) if m else None
 
-    rest = (0, 0)
+    runs = _Runs(text)
+
+    def run_end(at: int) -> tuple[int, bool]:
+        """(end of the unquoted value, ``at`` if there is none, whether it is long)."""
+        m = None if runs.inside(at) else _BARE.match(text, at)
+        return (m.end() if m else at, False) if not runs.inside(at) and (m is None or m.end() - at < 16384) else (runs.end(at), True)
 
-    def whole_end(at: int) -> int:
-        """Where the unquoted value goes on to from ``at``; the run is read once for all signs in it."""
-        nonlocal rest
-        if not rest[0] <= at <= rest[1] or rest[1] == 0:
-            rest = at, _REST.match(text, at).end()
-        return rest[1]
+    def starts_known(at: int) -> bool:
+        stop, _ = run_end(at)
+        end = _DOTLESS.match(text, at, stop).end()
+        return (end == stop or text[end] in ".+") and text[at:end] in known
 
     last, before, bare = 0, 0, 0
     for sign in _SIGN.finditer(text):
@@ -202,36 +325,39 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
             if found := _literal(text, at):
                 got, start, end = found
                 at = end + (3 if text[end : end + 3] in ('"""', "'''") and text[start - 3 : start] == text[end : end + 3] else 1)
-                if constant := pure(got):
+                if constant := pure(start, end):
                     (got, start, end), used = constant, True
                 else:
                     got, was = resolve(got)
                     used = used or was
-            elif (m := _BARE.match(text, at)) and (value == "" or m[0].split(".")[0].split("+")[0] in known):
-                word = m[0].split("+")[0] if _IDENT.match(m[0].split("+")[0]) else m[0]
-                start, end = at, at + len(word)
-                if word == m[0] and m.end() - at >= 16384:
-                    end = whole_end(m.end())
+            elif run_end(at)[0] > at and (value == "" or starts_known(at)):
+                start, stop, long = at, *run_end(at)
+                m = _IDENT_HEAD.match(text, at, stop)
+                end = m.end() if m and (m.end() == stop or text[m.end()] == "+") else stop
                 after = end
                 bare = max(bare, end)
-                if constant := known.get(word) or pure(word):
+                m = _DASHED.match(text, at, end)
+                if constant := (known.get(text[at:end]) if m and m.end() == end else None) or pure(at, end):
                     (got, start, end), used = constant, True
-                elif value == "" and "+" not in m[0][:1]:
-                    got, used = resolve(word)
-                    if not used and (sign[0] in (":=", "=>") or _OTHER.fullmatch(word) and ("_" in word or "." in word or sign[0] == "=" and text[at - 1] in " \t")):
+                elif value == "" and text[at] != "+":
+                    if long and end == stop and not runs.dollar(at):
+                        got, used = runs.summary(at), False
+                    else:
+                        got, used = resolve(text[at:end])
+                    if not used and (sign[0] in (":=", "=>") or _OTHER.fullmatch(text, at, end) and (text.find("_", at, end) >= 0 or text.find(".", at, end) >= 0 or sign[0] == "=" and text[at - 1] in " \t")):
                         break  # the name of something that isn't known
                 else:
                     break
                 at = after
             else:
                 break
-            value += got
+            value = joined(value, got) if value != "" else got
             place = place or (start, end)
             more = _PLUS.match(text, at)
-            if not more[0].strip(" \t\\\r\n") or len(value) > _JOINED:
+            if not more[0].strip(" \t\\\r\n"):
                 break
             at = more.end()
-        if place and value:
+        if place and value != "":
             known[name] = (value, *place)
             yield name, value, *place, used
     if "<" in text:

@@ -535,6 +535,38 @@ def test_long_secrets():
     assert [text[s[0] : s[1]] for s in secrets.scan(text)] == [key]
 
 
+def test_secrets_that_begin_like_filler():
+    rng = random.Random(15)
+    key = "".join(rng.choice("0123456789abcdefXYZ") for _ in range(40))
+    for text in (
+        f'A = "{"x" * 4200}"\nsecret = A + "{key}"\n', f'A = "{"x" * 4200}{key}"\nsecret = "id-${{A}}"\n', f'A = "{"x" * 4200}"\nsecret = "${{A}}" + "${{A}}" + "{key}"\n',
+        f"PASSWORD={'x' * 16400}{key} tail", f"PASSWORD=x={'x' * 16400}{key} tail", "A=" + key + "\nPASSWORD=" + "x" * 16400 + "${A} tail", f"PASSWORD={'my_' * 6000}{key}",
+    ):
+        assert {s[2] for s in secrets.scan(text)} & {"secret", "PASSWORD"}, text[-80:]
+    assert not secrets.scan(f"PASSWORD={'my_password_' * 2000}") and not secrets.scan(f'A = "{"your token " * 500}"\nsecret = A + A')
+    twice = "\n".join(["A0 = \"9f8e7d6c5b4a39281706\""] + [f"A{i + 1} = A{i} + A{i}" for i in range(300)] + ["secret = A300"])
+    start = time.perf_counter()
+    assert secrets.scan(twice)[0][2] == "secret"
+    assert len(secrets.scan("token=" * 20_000 + key)) > 1000 and time.perf_counter() - start < 60
+
+
+def test_summaries_add_up_to_the_score_of_the_string():
+    rng = random.Random(16)
+    pieces = ["my", "token", "change", "me", "x", "X", "9f", "ab", "Secret", "é", "_", "-", " ", "\n", "\t", "<", ">", "...", "${", "*", "vault:", "os.environ", "word" * 12, "xxx"]
+    for _ in range(4000):
+        parts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 5))) for _ in range(rng.randrange(1, 6))]
+        if rng.random() < 0.3:
+            parts = ["<", *[p.replace(">", "") for p in parts], rng.choice([">", ">\n"])]
+        text = "".join(parts)
+        whole = secrets.Summary.of(parts[0])
+        for p in parts[1:]:
+            whole = whole + secrets.Summary.of(p)
+        assert (whole.n, whole.counts) == (len(text), secrets.Counter(text))
+        if len(set(text)) >= 4:  # of fewer kinds none is scored
+            assert secrets.placeholder(whole) == secrets.placeholder(text), parts
+        assert abs(secrets.randomness(whole) - secrets.randomness(text)) < 1e-12, parts
+
+
 def test_pii_held_out():
     rng = random.Random(99)
     hit = wrong = missed = 0
