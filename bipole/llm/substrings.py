@@ -105,18 +105,26 @@ def repeated_spans(documents: DataFrame, *, base: int = BASE) -> DataFrame:
             )
 
     first = keep.write(_repeated(arrow_map(docs, anchors, "h bigint, doc_id bigint, pos int")).groupBy("doc_id").agg(F.collect_set("pos").alias("held")))
+    keep.free()
     candidates = arrow_map(docs.join(first.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "held"), dense, "h bigint, doc_id bigint, pos int")
-    survivors = _repeated(candidates).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h")).alias("xs"))
-    found = keep.write(arrow_map(survivors, runs, "doc_id bigint, start_word int, end_word int, hs array<bigint>"))
+    # each shuffle ends in a table, so that the files of one are gone before the next
+    repeated = keep.write(_repeated(candidates))
     keep.drop(first)
-    spans = found.where("end_word is not null").select("doc_id", "start_word", "end_word")
-    rows, level, reached = found.where("hs is not null").select("doc_id", "start_word", "hs", F.element_at("hs", 1).alias("h")), 1, []
+    keep.free()
+    survivors = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h")).alias("xs"))
+    found = keep.write(arrow_map(survivors, runs, "doc_id bigint, start_word int, end_word int, hs array<bigint>"))
+    keep.drop(repeated)
+    keep.free()
+    spans = keep.write(found.where("end_word is not null").select("doc_id", "start_word", "end_word"))
+    rows, level, reached, held = found.where("hs is not null").select("doc_id", "start_word", "hs", F.element_at("hs", 1).alias("h")), 1, [], found
     while True:
         alive = keep.write(_repeated(rows))
+        keep.drop(held)
+        keep.free()
         if alive.isEmpty():
             break
-        reached.append(alive.select("doc_id", "start_word", F.lit(least << level).alias("words")).distinct())
-        level += 1
+        reached.append(keep.write(alive.select("doc_id", "start_word", F.lit(least << level).alias("words")).distinct()))
+        level, held = level + 1, alive
         rows = alive.where(F.size("hs") >= level).select("doc_id", "start_word", "hs", F.element_at("hs", level).alias("h"))
     if not reached:
         return spans.select("doc_id", "start_word", "end_word", F.lit(least).alias("longest_words"))
