@@ -204,6 +204,75 @@ def test_longest_words_against_brute_force(spark):
     assert all(r["longest_words"] == max(n for p, n in want[r["doc_id"]].items() if r["start_word"] <= p < r["end_word"]) for r in got)
 
 
+def brute_spans(rows, size):
+    """Rows of repeated_spans by sets of words; rows may share an id."""
+    levels, top = [], size
+    while True:
+        seen = defaultdict(list)
+        for i, ws in rows:
+            for p in range(len(ws) - top + 1):
+                seen[tuple(ws[p : p + top])].append((i, p))
+        found = {x for places in seen.values() if len(places) > 1 for x in places}
+        if not found:
+            break
+        levels.append((top, found))
+        top *= 2
+    spans = []
+    for i, p in sorted(levels[0][1]):
+        if spans and spans[-1][0] == i and p - spans[-1][2] <= 0:
+            spans[-1][2] = max(spans[-1][2], p + size)
+        else:
+            spans.append([i, p, p + size])
+    return {(i, a, b, max(n for n, found in levels if any((i, p) in found for p in range(a, b)))) for i, a, b in spans}
+
+
+def test_rows_that_share_an_id_are_occurrences_at_every_size(spark):
+    rng, base = random.Random(26), 10
+    parts = [prose(rng, n).split() for n in (170, 60, 333, 25)]
+    rows = [(7, parts[0]), (7, parts[0]), (8, prose(rng, 15).split() + parts[1]), (8, parts[1] + prose(rng, 40).split()), (-9, parts[2]), (2**40, parts[2][100:] + parts[3]), (2**40, parts[3] + parts[3]), (1, prose(rng, 90).split()), (1, [])]
+    got = substrings.repeated_spans(spark.createDataFrame([(i, " ".join(ws)) for i, ws in rows], "doc_id bigint, text string"), base=base).collect()
+    assert len(got) == len({tuple(r) for r in got})
+    assert {tuple(r) for r in got} == brute_spans(rows, 2 * base)
+    assert {r["longest_words"] for r in got if r["doc_id"] == 7} == {160}
+
+
+def shuffled_bytes(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(i) for i in range(x.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+
+
+def test_repeated_spans_shuffle_a_window_once(spark):
+    rng = random.Random(27)
+    texts = [" ".join(prose(rng, 1500).split()) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "doc_id bigint, text string").coalesce(4)
+    windows = sum(max(0, 1500 - 50 * 2**j + 1) for j in range(5)) * 120
+    before = shuffled_bytes(spark)
+    assert {r["longest_words"] for r in substrings.repeated_spans(docs).collect()} == {800}
+    assert shuffled_bytes(spark) - before < 2 * sum(map(len, texts)) + 11 * windows
+
+
+def test_repeated_windows_are_found_across_blocks():
+    rng = np.random.default_rng(28)
+    h = np.concatenate([rng.integers(0, 3000, 4000), np.full(3000, 17), rng.integers(0, 3000, 500)]).astype(np.uint64)
+    doc, level, pos = np.arange(len(h)) - 50, np.zeros(len(h), np.uint8), rng.integers(0, 2**31 - 1, len(h)).astype(np.int32)
+    for step, end in ((1, 700), (7, 2000), (1000, len(h)), (10000, len(h))):
+        values, counts = np.unique(h[:end], return_counts=True)
+        blocks = (tuple(x[i : min(i + step, end)] for x in (doc, level, pos, h)) for i in range(0, end, step))
+        got, want = [np.concatenate(x) for x in zip(*substrings._repeated(blocks), strict=True)], np.isin(h[:end], values[counts > 1])
+        assert sorted(zip(got[0], got[2], strict=True)) == sorted(zip(doc[:end][want], pos[:end][want], strict=True))
+
+
+def test_packed_windows_come_back_as_they_were():
+    rng = np.random.default_rng(29)
+    doc = np.repeat(rng.integers(-(2**63), 2**63 - 1, 300), 9)
+    level, pos, h = rng.integers(0, 3, len(doc)).astype(np.uint8), rng.integers(0, 2**31 - 1, len(doc)).astype(np.int32), rng.integers(0, 2**64 - 1, len(doc), dtype=np.uint64)
+    for part in (h % np.uint64(7), h % np.uint64(70000)):
+        batch = substrings._pack(part.astype(np.int64), doc, level, pos, h)
+        got = [np.concatenate(x) for x in zip(*substrings._unpack(iter([batch])), strict=True)]
+        assert sorted(zip(*got, strict=True)) == sorted(zip(doc, level, pos, h, strict=True))
+        assert all((x[3] % np.uint64(7 if len(batch) <= 7 else 70000) == p).all() for x, p in zip(substrings._unpack(iter([batch])), batch["part"].to_pylist(), strict=True))
+
+
 def test_packing_is_exact_and_tight(spark):
     rng = random.Random(7)
     sizes = [rng.randrange(1, 900) for _ in range(3000)]
