@@ -23,6 +23,8 @@ from bipole.llm.kernel import chunks, least, mix, windows, winnow, words
 BASE = 25
 #: Windows packed or looked up at once; a window in memory takes about 60 bytes.
 BLOCK = 2_000_000
+#: Bytes of the table, by Spark's estimate, for each part at least, beyond the first eight.
+PART = 1 << 18
 _ROWS = "part int, groups int, places int, h binary, packed binary"
 
 
@@ -148,7 +150,8 @@ def repeated_spans(documents: DataFrame, *, base: int = BASE) -> DataFrame:
     size = 2 * base
     keep = Scratch(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # small tables get fewer parts than the session has; these aren't coalesced
+    n = min(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 + int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // PART)
 
     def anchors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         ids = batch["doc_id"].to_numpy()

@@ -251,6 +251,18 @@ def test_repeated_spans_shuffle_a_window_once(spark):
     assert shuffled_bytes(spark) - before < 2 * sum(map(len, texts)) + 11 * windows
 
 
+def test_repeated_spans_of_a_small_table_take_few_parts(spark, tmp_path):
+    rng, before = random.Random(30), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.createDataFrame([(i, prose(rng, 70)) for i in range(5)] * 2, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        spans = substrings.op7_substring_dedup(spark, str(tmp_path))
+        assert spans.rdd.getNumPartitions() < 20
+        assert spans.count() == 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_repeated_windows_are_found_across_blocks():
     rng = np.random.default_rng(28)
     h = np.concatenate([rng.integers(0, 3000, 4000), np.full(3000, 17), rng.integers(0, 3000, 500)]).astype(np.uint64)
