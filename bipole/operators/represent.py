@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bipole.sources.tables import materialise
 
-POOL_VECTORS = 200_000
+#: Vectors of a block of the pool and of the queries that a task holds at most, bytes of either, and the queries and pool vectors compared at once.
+POOL_VECTORS, QUERIES, BYTES, TILE = 1 << 16, 1 << 14, 16 << 20, (512, 8192)
 _models: dict[str, object] = {}
 
 
@@ -59,46 +62,132 @@ def cosine_similarity_fn(load: Callable[[str], Callable], model_name: str) -> Co
     return CosineSimilarity(load, model_name)
 
 
+class _Best:
+    """The best k of each of n rows: by greater key, equal ones by lower pos. A key of -inf is an empty place."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.keys, self.pos = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def add(self, rows: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> None:
+        own = np.unique(rows)
+        rows, keys, pos = (np.concatenate(x) for x in ((np.repeat(own, self.k), rows), (self.keys[own].ravel(), keys), (self.pos[own].ravel(), pos)))
+        order = np.lexsort((pos, -keys, rows))
+        begin = np.searchsorted(rows[order], own)
+        best = order[(begin[:, None] + np.arange(self.k)).ravel()]  # every row has its k old places at least
+        self.keys[own], self.pos[own] = keys[best].reshape(-1, self.k), pos[best].reshape(-1, self.k)
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    lengths = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    if len(lengths) and (lengths[0] < 0 or (lengths != lengths[0]).any()):
+        raise ValueError("vectors are missing or differ in length")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lengths), -1)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the batches, at most ``rows`` rows and about ``size`` bytes of vectors at a time."""
+    held, n = [], 0
+    for b in batches:
+        ids, x = b.column(0).to_numpy(), _matrix(b.column(1)) if b.num_rows else np.zeros((0, 0))
+        at = 0
+        while at < len(ids):
+            some = max(1, min(rows, size // max(1, x.itemsize * x.shape[1])) - n)
+            held.append((ids[at : at + some], x[at : at + some]))
+            n += len(held[-1][0])
+            at += some
+            if n >= min(rows, max(1, size // max(1, x.itemsize * x.shape[1]))):
+                yield tuple(np.concatenate(p) for p in zip(*held, strict=True))
+                held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(p) for p in zip(*held, strict=True))
+
+
+def _once(sent) -> object:
+    """What was broadcast, without the worker holding on to it."""
+    value = sent.value
+    if getattr(sent, "_path", None) is not None:  # it can be read from there again
+        sent.__dict__.pop("_value", None)
+    return value
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def _compare(best: _Best, ids: np.ndarray, u: np.ndarray, pos: np.ndarray, y: np.ndarray) -> None:
+    """Take the nearest of the vectors y into best, tile by tile: what single precision can't rule out is computed in double. pos is in order."""
+    k, margin, none = best.k, (u.shape[1] + 8) * 2.0**-23 + 1e-11, -2.0  # the key of a cosine that is no number
+    odd_u, odd_y = np.isnan(u).any(1), np.isnan(y).any(1)
+    for i in np.flatnonzero(odd_u):
+        first = pos[: k + np.count_nonzero(pos == ids[i])]
+        first = first[first != ids[i]]
+        best.add(np.full(len(first), i), np.full(len(first), none), first)
+    if odd_y.any():  # of those without a cosine only the lowest can count
+        low = pos[odd_y]
+        for i in np.flatnonzero(~odd_u & (best.keys[:, -1] <= none)):
+            first = low[: k + np.count_nonzero(low == ids[i])]
+            first = first[first != ids[i]]
+            best.add(np.full(len(first), i), np.full(len(first), none), first)
+    rows, pos, y = np.flatnonzero(~odd_u), pos[~odd_y], y[~odd_y]
+    y32 = y.astype(np.float32)
+    for a in range(0, len(rows), TILE[0]):
+        own = rows[a : a + TILE[0]]
+        own_ids, x32 = ids[own], u[own].astype(np.float32)
+        left, right = np.searchsorted(pos, own_ids, "left"), np.searchsorted(pos, own_ids, "right")
+        for c in range(0, len(pos), TILE[1]):
+            s = x32 @ y32[c : c + TILE[1]].T
+            width = s.shape[1]
+            for i in np.flatnonzero((left < c + width) & (right > max(c, 0)) & (left < right)):
+                s[i, max(0, left[i] - c) : right[i] - c] = -np.inf
+            least = best.keys[own, -1] - margin
+            open_ = np.flatnonzero(least < -1.5)
+            if len(open_) and width > k:
+                least[open_] = np.maximum(least[open_], np.partition(s[open_], width - k, axis=1)[:, width - k] - 2 * margin)
+            i, j = np.nonzero(s >= least.astype(np.float32)[:, None])
+            for at in range(0, len(i), 1 << 16):
+                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)] + c
+                other = pos[q] != own_ids[p]
+                p, q = p[other], q[other]
+                best.add(own[p], np.round(np.einsum("ij,ij->i", u[own[p]], y[q]), 12), pos[q])
+
+
 def nearest_vectors(queries: DataFrame, pool: DataFrame, k: int, limit: int = POOL_VECTORS) -> DataFrame:
     """(query_id, pos, cosine, rank) of the k pool vectors nearest to each query other than itself; ties go to the lower pos, a vector of no length has
-    cosine 0. A pool beyond ``limit`` vectors is sent to the tasks in blocks of so many, and each query keeps the best k of its best in every block."""
-    spark = queries.sparkSession
-    columns, block, found = "query_id bigint, pos bigint, cosine double, rank int", [], None
-
-    def unit(x: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-
-    def nearest(block: list) -> DataFrame:
-        held = spark.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            pos, vectors = held.value
-            vectors = unit(vectors)
-            for b in batches:
-                for at in range(0, len(b), 256):
-                    part = b.iloc[at : at + 256]
-                    s = np.round(unit(np.stack(part["embedding"]).astype(np.float64)) @ vectors.T, 12)
-                    ids, out = part["query_id"].to_numpy(), []
-                    for i, q in enumerate(ids):
-                        order = np.lexsort((pos, -s[i]))
-                        order = order[pos[order] != q][:k]
-                        out += [(q, pos[j], s[i, j], r + 1) for r, j in enumerate(order)]
-                    yield pd.DataFrame(out, columns=["query_id", "pos", "cosine", "rank"])
-
-        return queries.select("query_id", "embedding").mapInPandas(run, columns)
-
-    blocks = 0
-    for row in pool.select("pos", "embedding").orderBy("pos").toLocalIterator():
-        block.append(row)
-        if len(block) == limit:
-            found, blocks, block = nearest(block) if found is None else found.unionByName(nearest(block)), blocks + 1, []
-    if block or found is None:
-        found, blocks = nearest(block) if found is None else found.unionByName(nearest(block)), blocks + 1
-    if blocks == 1:
-        return found
-    best = Window.partitionBy("query_id").orderBy(F.when(~F.isnan("cosine"), F.col("cosine")).desc_nulls_last(), "pos")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "pos", "cosine", "rank")
+    cosine 0. All pairs are compared, so the work grows with the product of both tables; what a task holds doesn't grow: up to ``limit`` vectors of the pool at a time,
+    one block after the other, against as many of its queries. Of equal vectors only the k + 1 lowest pos can be among the nearest, so no more of them are sent."""
+    spark, columns = queries.sparkSession, "query_id bigint, pos bigint, cosine double, rank int"
+    if k < 1:
+        return spark.createDataFrame([], columns)
+
+    def vectors(df: DataFrame, key: str) -> DataFrame:
+        kind = df.schema["embedding"].dataType.simpleString()
+        return df.select(F.col(key).cast("bigint").alias(key), F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("embedding")).where(F.col(key).isNotNull())
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pos, x in _gathered(batches, limit, BYTES):
+            order = np.argsort(pos, kind="stable")
+            yield pa.RecordBatch.from_arrays([pa.array([x.dtype.str]), pa.array([x.shape[1]]), pa.array([pos[order].tobytes()]), pa.array([x[order].tobytes()])], ["kind", "dim", "pos", "x"])
+
+    low = vectors(pool, "pos").withColumn("_r", F.dense_rank().over(Window.partitionBy("embedding").orderBy("pos"))).where(F.col("_r") <= k + 1).drop("_r")
+    blocks = [spark.sparkContext.broadcast(tuple(r)) for r in low.mapInArrow(packed, "kind string, dim bigint, pos binary, x binary").toLocalIterator()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in _gathered(batches, QUERIES, BYTES):
+            u, best = _unit(x), _Best(len(ids), k)
+            for sent in blocks:
+                kind, dim, pos, flat = _once(sent)
+                if dim != u.shape[1]:
+                    raise ValueError("vectors differ in length")
+                _compare(best, ids, u, np.frombuffer(pos, np.int64), _unit(np.frombuffer(flat, kind).reshape(-1, dim)))
+            there = np.isfinite(best.keys)
+            row, rank = np.nonzero(there)
+            keys = best.keys[there]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best.pos[there]), pa.array(np.where(keys < -1.5, np.nan, keys)), pa.array((rank + 1).astype(np.int32))], ["query_id", "pos", "cosine", "rank"])
+
+    cores = spark.sparkContext.defaultParallelism
+    return vectors(queries, "query_id").repartition(max(1, math.ceil(queries.count() / (QUERIES * cores))) * cores).mapInArrow(run, columns)
 
 
 def votes(neighbours: DataFrame, pool: DataFrame) -> DataFrame:
