@@ -32,7 +32,8 @@ class TrainedClassifier:
     def fit(self, df: DataFrame) -> TrainedClassifier:
         self.classes_ = resolve_labels(df, pos_label=self.pos_label)
         weights = class_weights(df, "label", self.class_weight)
-        rows = df.join(weights, "label").select(char_ngrams(F.col("text")).alias("grams"), F.when(F.col("label") == F.lit(self.classes_[1]), 1.0).otherwise(0.0).alias("target"), "weight")
+        # two rows are sent to the texts; a join by label would send all texts to two tasks
+        rows = df.join(F.broadcast(weights), "label").select(char_ngrams(F.col("text")).alias("grams"), F.when(F.col("label") == F.lit(self.classes_[1]), 1.0).otherwise(0.0).alias("target"), "weight")
         stages = [HashingTF(inputCol="grams", outputCol="tf", numFeatures=self.features), IDF(inputCol="tf", outputCol="features"), LogisticRegression(labelCol="target", weightCol="weight", maxIter=self.epochs, regParam=self.regularisation)]
         self.model_ = Pipeline(stages=stages).fit(rows)
         return self

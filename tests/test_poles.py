@@ -311,3 +311,17 @@ def test_shared_prefix_scores_as_each_by_itself():
     assert [pytest.approx(w) for w in want] == got and one.model.evaluated < 0.75 * apart
     with pytest.warns(UserWarning):
         assert fit_context([1, 2, 3], 3, 2) == [3]
+
+
+def test_training_sends_no_text_by_label(spark):
+    rows = spark.createDataFrame([(i, f"text {i}", i % 2) for i in range(8)], "pos bigint, text string, label int").repartition(4)
+    seen = []
+    fit = train.Pipeline.fit
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    train.Pipeline.fit = lambda self, df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or fit(self, df)
+    try:
+        train.TrainedClassifier(class_weight="balanced", epochs=1).fit(rows)
+    finally:
+        train.Pipeline.fit = fit
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in seen[0] and "SortMergeJoin" not in seen[0]
