@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bipole.operators.best import Best
 from bipole.sources.tables import materialise
 
 #: Vectors of a block of the pool and of the queries that a task holds at most, bytes of either, and the queries and pool vectors compared at once.
@@ -62,21 +63,6 @@ def cosine_similarity_fn(load: Callable[[str], Callable], model_name: str) -> Co
     return CosineSimilarity(load, model_name)
 
 
-class _Best:
-    """The best k of each of n rows: by greater key, equal ones by lower pos. A key of -inf is an empty place."""
-
-    def __init__(self, n: int, k: int):
-        self.k, self.keys, self.pos = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-
-    def add(self, rows: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> None:
-        own = np.unique(rows)
-        rows, keys, pos = (np.concatenate(x) for x in ((np.repeat(own, self.k), rows), (self.keys[own].ravel(), keys), (self.pos[own].ravel(), pos)))
-        order = np.lexsort((pos, -keys, rows))
-        begin = np.searchsorted(rows[order], own)
-        best = order[(begin[:, None] + np.arange(self.k)).ravel()]  # every row has its k old places at least
-        self.keys[own], self.pos[own] = keys[best].reshape(-1, self.k), pos[best].reshape(-1, self.k)
-
-
 def _matrix(lists: pa.Array) -> np.ndarray:
     lengths = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     if len(lengths) and (lengths[0] < 0 or (lengths != lengths[0]).any()):
@@ -116,7 +102,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def _compare(best: _Best, ids: np.ndarray, u: np.ndarray, pos: np.ndarray, y: np.ndarray) -> None:
+def _compare(best: Best, ids: np.ndarray, u: np.ndarray, pos: np.ndarray, y: np.ndarray) -> None:
     """Take the nearest of the vectors y into best, tile by tile: what single precision can't rule out is computed in double. pos is in order."""
     k, margin, none = best.k, (u.shape[1] + 8) * 2.0**-23 + 1e-11, -2.0  # the key of a cosine that is no number
     odd_u, odd_y = np.isnan(u).any(1), np.isnan(y).any(1)
@@ -175,7 +161,7 @@ def nearest_vectors(queries: DataFrame, pool: DataFrame, k: int, limit: int = PO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x in _gathered(batches, QUERIES, BYTES):
-            u, best = _unit(x), _Best(len(ids), k)
+            u, best = _unit(x), Best(len(ids), k)
             for sent in blocks:
                 kind, dim, pos, flat = _once(sent)
                 if dim != u.shape[1]:

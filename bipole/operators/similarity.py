@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bipole.functions.columns import MIN_SPAN, NEAR, NGRAM, char_ngrams, jaccard
+from bipole.operators.best import Best
 from bipole.operators.pools import Selector
 
 POOL_BYTES = 16 << 20
+#: Similarities that a task computes at once.
+CELLS = 1 << 20
 
 
 def grams(text: str) -> np.ndarray:
@@ -40,7 +43,7 @@ class PoolIndex:
     def __init__(self, texts: list[str]):
         self.texts = texts
         sets = [grams(t) for t in texts]
-        self.sizes = np.array([len(s) for s in sets])
+        self.sizes = np.array([len(s) for s in sets], np.int64)
         every, owner = np.concatenate(sets or [np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(every, kind="stable")
         self.grams, self.owner = every[order], owner[order]
@@ -71,6 +74,31 @@ def pair_similarities(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> Dat
     return both.select(a_key, b_key, (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity"))
 
 
+def _nearest_of_few(queries: DataFrame, pool: DataFrame, k: int, query_key: str, pool_key: str, schema: str) -> DataFrame:
+    """nearest() of few queries in a pool of any size: an index of the queries goes to every task, which reads its texts once and keeps the best k for each query."""
+    keys, index = _index(queries, query_key)
+    n = len(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, some = Best(n, k), max(1, CELLS // max(1, n))
+        for batch in batches:
+            places, texts = batch[pool_key].to_numpy(np.int64), batch["text"].tolist()
+            for at in range(0, len(texts) if n else 0, some):
+                s = np.stack([index.value.similarities(t) for t in texts[at : at + some]], axis=1)
+                if s.shape[1] > k:  # of these texts alone, what is under the k best can't count
+                    least = np.maximum(best.keys[:, -1:], np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None])
+                else:
+                    least = best.keys[:, -1:]
+                i, j = np.nonzero(s >= least)
+                best.add(i, s[i, j], places[at + j])
+        there = np.isfinite(best.keys)
+        yield pd.DataFrame({query_key: np.array(keys, np.int64)[np.nonzero(there)[0]], pool_key: best.pos[there], "similarity": best.keys[there], "rank": 0})
+
+    found = pool.where("text is not null").select(F.col(pool_key).cast("bigint"), "text").mapInPandas(run, schema)
+    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("similarity"), pool_key))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def nearest(queries: DataFrame, pool: DataFrame, k: int, query_key: str = "query_id", pool_key: str = "pos", limit: int = POOL_BYTES) -> DataFrame:
     """(query_key, pool_key, similarity, rank) of the k pool texts nearest to every query; ties go to the lower pool key; texts that share nothing
     have similarity 0. All of the pool if it has no more than k, nothing for k < 1. Null texts are left out."""
@@ -78,6 +106,8 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, query_key: str = "query
     if k < 1:
         return queries.sparkSession.createDataFrame([], schema)
     if not _small(pool, limit):
+        if _small(queries, limit):
+            return _nearest_of_few(queries, pool, k, query_key, pool_key, schema)
         near = pair_similarities(queries, pool, query_key, pool_key)
         # texts that share nothing: the first k of the pool are enough to fill up with
         first = pool.where("text is not null").select(pool_key).orderBy(pool_key).limit(k)
@@ -174,6 +204,21 @@ class SpanIndex:
         self.known = np.zeros(int(self.low) + 1, bool)  # most runs are told apart by their low bits alone
         self.known[every & self.low] = True
 
+    def shared(self, text: str, known: set[int]) -> set[int]:
+        """Which of the texts, besides those known, have a run in common with this one; what hashes alike is compared by character."""
+        own, new = _rolled(_points(text), self.min_len), set()
+        if not len(self.hashes) or not len(own):
+            return new
+        maybe = np.flatnonzero(self.known[own & self.low])
+        low, high = np.searchsorted(self.hashes, own[maybe]), np.searchsorted(self.hashes, own[maybe], "right")
+        for k in np.flatnonzero(high > low):
+            span = text[maybe[k] : maybe[k] + self.min_len]
+            for at in range(low[k], high[k]):
+                who = int(self.owner[at])
+                if who not in known and who not in new and self.texts[who].startswith(span, self.place[at]):
+                    new.add(who)
+        return new
+
     def holds(self, text: str) -> bool:
         """Whether the text has one of the runs; what hashes alike is compared by character."""
         own = _rolled(_points(text), self.min_len)
@@ -191,6 +236,11 @@ class SpanIndex:
         return False
 
 
+def _span_index(texts: DataFrame, key: str, min_len: int) -> tuple[list[int], object]:
+    rows = texts.select(F.col(key).cast("bigint"), "text").where(F.col(key).isNotNull() & F.col("text").isNotNull()).collect()
+    return [r[0] for r in rows], texts.sparkSession.sparkContext.broadcast(SpanIndex([r[1] for r in rows], min_len))
+
+
 def verbatim_spans(texts: DataFrame, sources: DataFrame, key: str, min_len: int = MIN_SPAN, limit: int = POOL_BYTES) -> DataFrame:
     """The rows of texts that share a run of at least ``min_len`` characters with some source. A run shorter than that, or a shorter text, never counts."""
     if _small(sources, limit):
@@ -201,6 +251,17 @@ def verbatim_spans(texts: DataFrame, sources: DataFrame, key: str, min_len: int
                 yield batch.loc[np.array([held.value.holds(t) for t in batch["text"]], bool), [key]]
 
         found = texts.where("text is not null").select(F.col(key).cast("bigint").alias(key), "text").mapInPandas(run, f"{key} bigint").distinct()
+    elif _small(texts, limit):  # few texts in many sources: the index is that of the texts, and each source tells which of them it shares a run with
+        keys, texts_index = _span_index(texts, key, min_len)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: set[int] = set()
+            for batch in batches:
+                for t in batch["text"]:
+                    seen |= texts_index.value.shared(t, seen)
+            yield pd.DataFrame({key: np.array([keys[i] for i in sorted(seen)], np.int64)})
+
+        found = sources.where("text is not null").select("text").mapInPandas(run, f"{key} bigint").distinct()
     else:
 
         def spans(df: DataFrame, *cols: str) -> DataFrame:
@@ -212,6 +273,11 @@ def verbatim_spans(texts: DataFrame, sources: DataFrame, key: str, min_len: int
     return texts.join(found, key, "left_semi")
 
 
+def _with_texts(chosen: DataFrame, pool: DataFrame, queries: DataFrame) -> DataFrame:
+    """The texts of what was chosen: for few queries that is sent to the pool, k rows a side and query, so that the pool isn't moved."""
+    return (F.broadcast(chosen) if _small(queries, POOL_BYTES) else chosen).join(pool.select("pos", "side", "text"), ["pos", "side"])
+
+
 class NearestSelector(Selector):
     """The k texts of each side nearest to each query, in pool order; without queries the first k. Nearness is that of character trigrams, or any function of two texts."""
 
@@ -225,7 +291,7 @@ class NearestSelector(Selector):
             return pool.withColumn("_r", F.row_number().over(Window.partitionBy("side").orderBy("pos"))).where(F.col("_r") <= k).drop("_r")
         near = (lambda side: nearest_by(queries, side, k, self.similarity_fn)) if self.similarity_fn else (lambda side: nearest(queries, side, k))
         sides = [near(pool.where(F.col("side") == s)).withColumn("side", F.lit(s)) for s in ("positive", "negative")]
-        return sides[0].unionByName(sides[1]).join(pool.select("pos", "side", "text"), ["pos", "side"])
+        return _with_texts(sides[0].unionByName(sides[1]), pool, queries)
 
 
 def _closest(chosen: dict[str, tuple[list[int], list[str]]], similarity_fn: Callable[[str, str], float] | None):

@@ -325,3 +325,51 @@ def test_training_sends_no_text_by_label(spark):
         train.Pipeline.fit = fit
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in seen[0] and "SortMergeJoin" not in seen[0]
+
+
+def test_few_queries_in_a_large_pool(spark):
+    import random
+
+    rng = random.Random(4)
+    told = lambda n: ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(n)]
+    p = pool(spark, [(i, "positive", t) for i, t in enumerate(told(300))] + [(999, "positive", None)]).repartition(5)
+    asked = spark.createDataFrame([*enumerate(told(9)), (50, None), (51, "映画")], "query_id bigint, text string")
+    for k in (1, 4, 400):
+        want = sorted(similarity.nearest(asked, p, k).collect())
+        few = similarity.nearest(asked, p, k, limit=1500)  # the queries fit, the pool doesn't
+        assert sorted(few.collect()) == want and len(want) == 10 * min(k, 300)
+        assert "Generate" not in few._jdf.queryExecution().toString()
+    assert similarity.nearest(asked.limit(0), p, 2, limit=1500).count() == 0
+
+
+def test_few_texts_in_many_sources(spark):
+    sources = [f"source {i} says {'lorem ipsum dolor'[i % 5:]} and number {i * i} goes on" for i in range(60)] + [None, "", "short"]
+    texts = [(1, "x" + sources[7][3:23]), (2, sources[9][3:22] + "!"), (3, None), (4, "映画はとても" * 4), (5, "zz " + sources[40] + " zz"), (6, "short"), (1, "second text under the key one")]
+    some, many = spark.createDataFrame(texts, "key bigint, text string"), spark.createDataFrame([(s,) for s in sources], "text string").repartition(4)
+    want = sorted(similarity.verbatim_spans(some, many, "key").collect(), key=str)
+    few = similarity.verbatim_spans(some, many, "key", limit=700)
+    assert sorted(few.collect(), key=str) == want and {r["key"] for r in want} == {1, 5}
+    assert "Generate" not in few._jdf.queryExecution().toString()
+
+
+def test_budget_gathers_what_could_be_taken(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["positive", "negative"]), "x" * rng.choice([0, 3, 4, 11, 40, 90])) for i in range(400)]
+    for budget, k in ((1, None), (7, None), (40, None), (40, 3), (200, 500)):
+        for order in (None, F.md5(F.col("pos").cast("string"))):
+            want = set()
+            for side in ("positive", "negative"):
+                left, n = budget, 0
+                own = [r for r in rows if r[1] == side]
+                for pos, _, text in own if order is None else sorted(own, key=lambda r: __import__("hashlib").md5(str(r[0]).encode()).hexdigest()):
+                    if len(text) // 4 + 1 <= left and (k is None or n < k):
+                        want.add((side, pos, n))
+                        left, n = left - len(text) // 4 - 1, n + 1
+            got = pools.trim_to_budget(pool(spark, rows), budget, order, k=k)
+            assert {(r["side"], r["pos"], r["rank"]) for r in got.collect()} == want
+    # half of the rows cost the same: the fold isn't given more of them than could be taken
+    given = pools.trim_to_budget(pool(spark, [(i, "positive", "abcd") for i in range(5000)]), 20)
+    gathered = given._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" in gathered and given.count() == 10

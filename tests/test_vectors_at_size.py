@@ -25,7 +25,7 @@ def brute(rows, k):
 def test_a_task_holds_tiles_and_not_rows_of_all_cosines():
     rng = np.random.default_rng(3)
     y, u = represent._unit(rng.standard_normal((60_000, 8))), represent._unit(rng.standard_normal((700, 8)))
-    best, ids, pos = represent._Best(700, 5), np.arange(700) + 59_900, np.arange(60_000)
+    best, ids, pos = represent.Best(700, 5), np.arange(700) + 59_900, np.arange(60_000)
     tracemalloc.start()
     represent._compare(best, ids, u, pos, y)
     peak = tracemalloc.get_traced_memory()[1]
