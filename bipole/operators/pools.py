@@ -45,13 +45,19 @@ def random_select(pool: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 def trim_to_budget(pool: DataFrame, budget: int, order: Column | None = None, tokens: Column | None = None, k: int | None = None, by: tuple[str, ...] = ("side",)) -> DataFrame:
     """Of each side (or each group of ``by``), in the order given, every row that still fits: one that doesn't is skipped, not the end. Rows over the whole budget are left out
-    before, so that only rows that could be taken are gathered into the fold's one array a side."""
+    before. Of rows of one cost those taken are the first ones, since what doesn't fit once never fits later; so of each cost only as many as fill the budget (or k) are gathered
+    into the fold's one array a group, whose size depends on the budget and not on the table."""
     cost = tokens if tokens is not None else token_count(F.col("text"))
     key = order if order is not None else F.lit("")
     rows = pool.withColumn("_c", cost.cast("bigint")).where(F.col("_c") <= budget)
     if k is not None and k <= 0:
         return pool.limit(0)
-    items = F.array_sort(F.collect_list(F.struct(key.alias("o"), F.col("pos"), F.col("_c").alias("c"))))
+    same = Window.partitionBy(*by, "_c").orderBy("_o", "pos")
+    most = F.when(F.col("_c") > 0, F.floor(F.lit(int(budget)) / F.col("_c"))).otherwise(F.lit(2**31 - 1))
+    rows = rows.select(*by, "pos", "_c", key.alias("_o")).withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= most)
+    if k is not None:
+        rows = rows.where(F.col("_n") <= int(k))
+    items = F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col("pos"), F.col("_c").alias("c"))))
     full = "true" if k is None else f"size(acc.s) < {int(k)}"
     fold = F.expr(f"aggregate(xs, named_struct('t', 0L, 's', cast(array() as array<bigint>)), (acc, x) -> if(acc.t + x.c <= {int(budget)} and {full}, named_struct('t', acc.t + x.c, 's', array_append(acc.s, x.pos)), acc)).s")
     chosen = rows.groupBy(*by).agg(items.alias("xs")).select(*by, F.posexplode(fold).alias("rank", "pos"))
